@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tavola.functions.formatting import as_text, format_datetimes
-from tavola.functions.predicates import SOLD
+from tavola.functions.predicates import SOLD, equals, where_all
 from tavola.operators import listing, reports as rep
 from tavola.plans.registry import query
 from tavola.sources import corpus
@@ -96,10 +96,13 @@ MENU_COLUMNS = """id, CAST(restaurant_id AS BIGINT) AS restaurant_id, name, cate
 
 @query(
     "o10_optional_filters",
-    """SELECT status, CAST(count(*) AS BIGINT) AS cnt FROM d_orders WHERE restaurant_id = 3 GROUP BY status""",
+    """SELECT CAST(restaurant_id AS BIGINT) AS restaurant_id, count(*) AS orders_count,
+              CAST(sum(total_amount) AS DOUBLE) AS total_amount
+       FROM d_orders WHERE status = 'served' AND total_amount >= 1000 GROUP BY 1""",
 )
 def _(c):
-    return rep.orders_by_status(c.orders, restaurant_id=3)
+    large = F.col("total_amount") >= 1000
+    return rep.orders_per_location(where_all(c.orders, equals("status", "served"), None, large))
 
 
 @query(
@@ -140,10 +143,10 @@ def _(c):
     "o14_request_list",
     """SELECT p.id, CAST(p.restaurant_id AS BIGINT) AS restaurant_id, i.name AS ingredient_name,
               CAST(p.qty AS DOUBLE) AS qty, p.status, strftime(p.created_at, '%Y-%m-%d %H:%M:%S') AS created_at
-       FROM d_purchase_requests p JOIN d_ingredients i ON i.id = p.ingredient_id WHERE p.restaurant_id = 7""",
+       FROM d_purchase_requests p JOIN d_ingredients i ON i.id = p.ingredient_id""",
 )
 def _(c):
-    return listing.request_list(c.purchase_requests, c.ingredients, restaurant_id=7)
+    return listing.request_list(c.purchase_requests, c.ingredients)
 
 
 @query(
