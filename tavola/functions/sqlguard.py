@@ -55,6 +55,14 @@ SUSPICIOUS = (
     r"--",
     r"/\*",
 )
+# A plain text without which the pattern at the same place cannot match.
+DANGEROUS_NEEDS = (
+    "--", "/*", "union", "union", "--", "--", "--", "pg_sleep", "sleep", "waitfor",
+    "xp_cmdshell", "xp_cmdshell", "xp_cmdshell", ";", "information_schema", "0x",
+)
+SUSPICIOUS_NEEDS = (
+    "union", "or", "and", "exec", "execute", "pg_sleep", "sleep", "information_schema", "0x", "--", "/*",
+)
 FORBIDDEN = ("drop", "truncate", "alter", "grant", "revoke", "copy", "create", "delete", "update", "insert")
 CATALOG_NAMES = ("information_schema", "pg_catalog")
 SAFE_STARTS = ("select", "with", "explain")
@@ -86,6 +94,11 @@ TOO_MANY_QUOTES = "Too many quotes (possible injection attempt)"
 _SPACE = r"[\s\x1c-\x1f]"
 
 
+def _raw(pattern: str) -> str:
+    """A pattern for raw text, where the separators 1c to 1f are whitespace too."""
+    return pattern.replace(r"\s", _SPACE)
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -94,8 +107,18 @@ def _java(pattern: str, flags: str) -> str:
     return f"(?{flags}){pattern}"
 
 
-def matches(column: Column, pattern: str, flags: str = "iU") -> Column:
-    return column.rlike(_java(pattern, flags))
+def matches(column: Column, pattern: str, flags: str = "iU", needs: str | None = None) -> Column:
+    """Whether the pattern is found.
+
+    `needs` is a lower-case text the pattern cannot match without; looking for it
+    first spares most texts the pattern. Beyond ASCII a letter may match in
+    another form, so such texts always get the pattern.
+    """
+    found = column.rlike(_java(pattern, flags))
+    if needs is None:
+        return found
+    beyond = F.octet_length(column) != F.length(column)
+    return (F.contains(column, F.lit(needs)) | beyond) & found
 
 
 def occurrences(column: Column, text: str) -> Column:
@@ -116,12 +139,14 @@ def dangerous_comment(sql: Column) -> Column:
     """True where a comment of the raw text names a command or `or 1=1`."""
     lines = F.regexp_extract_all(sql, F.lit(r"(?md)--.*?$"), F.lit(0))
     blocks = F.regexp_extract_all(sql, F.lit(r"(?s)/\*.*?\*/"), F.lit(0))
-    return F.exists(F.concat(lines, blocks), lambda c: matches(c, COMMENT_DANGER))
+    bad = F.exists(F.concat(lines, blocks), lambda c: matches(c, _raw(COMMENT_DANGER)))
+    return (F.contains(sql, F.lit("--")) | F.contains(sql, F.lit("/*"))) & bad
 
 
 def whitelisted(sql: Column, clean: Column) -> Column:
     """`clean` is the normalised lower-case text."""
-    hit = _any([matches(clean, p, "iUs") for p in WHITELIST])
+    needs = ("select",) * 5 + ("with", "explain")
+    hit = _any([matches(clean, p, "iUs", n) for p, n in zip(WHITELIST, needs)])
     return hit & ~dangerous_comment(sql)
 
 
@@ -156,7 +181,7 @@ def forbidden_hits(clean: Column) -> Column:
     def hit(word: str) -> Column:
         before = F.substring(clean, F.lit(1), F.instr(clean, word) - 1)
         odd = (occurrences(before, "'") % 2 == 1) | (occurrences(before, '"') % 2 == 1)
-        used = matches(clean, rf"(^|\s|;)\b{word}\b(\s|\(|;|$)")
+        used = matches(clean, rf"(^|\s|;)\b{word}\b(\s|\(|;|$)", needs=word)
         return F.when(used & ~odd, F.lit(word))
 
     hits = F.filter(F.array(*[hit(w) for w in sorted(FORBIDDEN)]), lambda w: w.isNotNull())
@@ -166,7 +191,9 @@ def forbidden_hits(clean: Column) -> Column:
 
 def first_pattern(clean: Column) -> Column:
     """The first dangerous pattern found, NULL when there is none."""
-    return F.coalesce(*[F.when(matches(clean, p), F.lit(p)) for p in DANGEROUS])
+    return F.coalesce(
+        *[F.when(matches(clean, p, needs=n), F.lit(p)) for p, n in zip(DANGEROUS, DANGEROUS_NEEDS)]
+    )
 
 
 def rule_reason(clean: Column, hits: Column, pattern: Column) -> Column:
@@ -183,7 +210,8 @@ def rule_reason(clean: Column, hits: Column, pattern: Column) -> Column:
 def suspicious(sql: Column) -> Column:
     low = F.lower(sql)
     specials = F.regexp_count(sql, F.lit(r"[()\[\]{}\"'`;]"))
-    return _any([matches(low, p, "iUd") for p in SUSPICIOUS]) | (specials > MOST_SPECIALS)
+    found = [matches(low, _raw(p), "iUd", n) for p, n in zip(SUSPICIOUS, SUSPICIOUS_NEEDS)]
+    return _any(found) | (specials > MOST_SPECIALS)
 
 
 def features(sql: Column) -> dict[str, Column]:
@@ -197,7 +225,7 @@ def features(sql: Column) -> dict[str, Column]:
         "num_comments": F.regexp_count(q, F.lit(r"--|/\*|\*/")),
         "num_semicolons": occurrences(q, ";"),
         "has_union": F.contains(q, F.lit("union select")).cast("int"),
-        "has_or_true": matches(q, r"or\s+1\s*=\s*1", "U").cast("int"),
+        "has_or_true": matches(q, _raw(r"or\s+1\s*=\s*1"), "U", "or").cast("int"),
         "num_keywords": words,
         "special_char_ratio": specials / F.greatest(F.length(q), F.lit(1)),
         "num_sleep": matches(q, "sleep|pg_sleep|benchmark").cast("int"),
