@@ -8,17 +8,17 @@ from tavola.operators import guardmodel as gm, metrics, textweights
 from tavola.plans.registry import query
 
 # Number of hashed columns of the registered models.
-COLUMNS = 1 << 14
+COLUMNS = 1 << 12
 
 _GRAMS = """list_concat(list_concat(
-    list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)),
-    list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))),
-    list_transform(range(1, length(x) - 3), lambda i: substr(x, i, 5)))"""
+    list_transform(range(1, len(x) - 1), lambda i: x[i] || x[i + 1] || x[i + 2]),
+    list_transform(range(1, len(x) - 2), lambda i: x[i] || x[i + 1] || x[i + 2] || x[i + 3])),
+    list_transform(range(1, len(x) - 3), lambda i: x[i] || x[i + 1] || x[i + 2] || x[i + 3] || x[i + 4]))"""
 
 
 def _vocabulary(source: str, key: str, text: str) -> str:
     return rf"""
-        docs AS (SELECT {key} AS id, regexp_replace(lower({text}), '\s\s+', ' ', 'g') AS x FROM {source}),
+        docs AS (SELECT {key} AS id, string_split(regexp_replace(lower({text}), '\s\s+', ' ', 'g'), '') AS x FROM {source}),
         grams AS MATERIALIZED (SELECT id, unnest({_GRAMS}) AS gram FROM docs),
         tf AS MATERIALIZED (SELECT id, gram, count(*) AS tf FROM grams GROUP BY 1, 2),
         vocab AS (SELECT gram, count(*) AS df, ln((1.0 + (SELECT count(*) FROM docs)) / (1 + count(*))) + 1 AS idf
