@@ -51,5 +51,10 @@ def weekday(column: str | Column) -> Column:
     return F.dayofweek(column) - 1
 
 
+def only(df: DataFrame, value: Column) -> Column:
+    """An aggregate over a whole table as a value beside any row, without a join."""
+    return df.agg(value.alias("value")).scalar()
+
+
 def fill_zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tavola.functions.predicates import only
+
 # Per table, how much of it each role sees. "own" is the viewer's
 # location, "orders" and "assignments" reach the location through a parent row.
 # A role that is not listed sees nothing.
@@ -97,13 +99,11 @@ def visible_counts(df: DataFrame, table: str, viewers: DataFrame) -> DataFrame:
     counts meet the viewers.
     """
     per_place = df.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("own_rows"))
-    total = per_place.agg(F.sum("own_rows").alias("all_rows"))
     extent = _extent(POLICIES[table], F.col("role"))
-    seen = F.when(extent == "all", F.col("all_rows")).when(extent == "own", F.col("own_rows"))
-    return (
-        viewers.join(per_place, "restaurant_id", "left")
-        .join(total)
-        .select("user_id", F.coalesce(seen, F.lit(0)).alias("visible_rows"))
+    every = only(per_place, F.sum("own_rows"))
+    seen = F.when(extent == "all", every).when(extent == "own", F.col("own_rows"))
+    return viewers.join(per_place, "restaurant_id", "left").select(
+        "user_id", F.coalesce(seen, F.lit(0)).alias("visible_rows")
     )
 
 
@@ -182,13 +182,7 @@ def scoped(df: DataFrame, role: str | None, location: int | None, column: str =
 def scoped_counts(df: DataFrame, viewers: DataFrame) -> DataFrame:
     """(user_id, rows_seen) under report scoping, for every viewer."""
     per_place = df.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("own_rows"))
-    total = per_place.agg(F.sum("own_rows").alias("all_rows"))
     limited = (F.col("role") != "admin") & F.col("restaurant_id").isNotNull()
-    return (
-        viewers.join(per_place, "restaurant_id", "left")
-        .join(total)
-        .select(
-            "user_id",
-            F.when(limited, F.coalesce("own_rows", F.lit(0))).otherwise(F.col("all_rows")).alias("rows_seen"),
-        )
-    )
+    every = F.coalesce(only(per_place, F.sum("own_rows")), F.lit(0))
+    seen = F.when(limited, F.coalesce("own_rows", F.lit(0))).otherwise(every)
+    return viewers.join(per_place, "restaurant_id", "left").select("user_id", seen.alias("rows_seen"))

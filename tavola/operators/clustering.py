@@ -7,6 +7,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tavola.functions.predicates import only
+
 # Number of clusters, seed, names, rows labelled per cluster, name length.
 CLUSTERS = 3
 SEED = 42
@@ -42,20 +44,22 @@ def cluster_names(df: DataFrame, revenue: str = "total_revenue", qty: str = "tot
     per = df.groupBy("cluster").agg(
         F.sum(revenue).alias("r"), F.sum(qty).alias("q"), F.count(F.lit(1)).alias("n")
     )
-    total = per.agg(F.sum("r").alias("tr"), F.sum("q").alias("tq"), F.sum("n").alias("tn"))
 
-    def mean(value: str, count: str) -> Column:
-        return F.col(value).cast("double") / F.col(count)
+    def mean(value: str) -> Column:
+        return F.col(value).cast("double") / F.col("n")
+
+    def overall(value: str) -> Column:
+        return only(per, F.sum(value).cast("double") / F.sum("n"))
 
-    revenue_gap = mean("r", "n") - mean("tr", "tn")
-    qty_gap = mean("q", "n") - mean("tq", "tn")
+    revenue_gap = mean("r") - overall("r")
+    qty_gap = mean("q") - overall("q")
     name = (
         F.when((revenue_gap > 0) & (qty_gap > 0), HIT)
         .when((revenue_gap < 0) & (qty_gap < 0), WEAK)
         .otherwise(AVERAGE)
     )
-    return per.join(total).select(
-        "cluster", mean("r", "n").alias("avg_revenue"), mean("q", "n").alias("avg_qty"), name.alias("name")
+    return per.select(
+        "cluster", mean("r").alias("avg_revenue"), mean("q").alias("avg_qty"), name.alias("name")
     )
 
 

@@ -55,7 +55,7 @@ def _log(c):
     return c.sql_log.select("log_id", "sql", "label")
 
 
-RANKED = """SELECT log_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(sql || '#42'), log_id) AS rank,
+RANKED = """SELECT log_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(log_id || '#42')) AS rank,
                    count(*) OVER (PARTITION BY label) AS size FROM d_sql_log"""
 
 
@@ -64,7 +64,7 @@ RANKED = """SELECT log_id, label, row_number() OVER (PARTITION BY label ORDER BY
     f"SELECT log_id, CAST(label AS BIGINT) AS label, rank <= floor(size * 0.2::DOUBLE + 0.5) AS is_test FROM ({RANKED})",
 )
 def _(c):
-    return gm.stratified_split(_log(c)).select("log_id", "label", "is_test")
+    return gm.stratified_split(_log(c), "log_id").select("log_id", "label", "is_test")
 
 
 @query(
@@ -72,24 +72,24 @@ def _(c):
     f"SELECT log_id, CAST(label AS BIGINT) AS label, rank % 5 AS fold FROM ({RANKED})",
 )
 def _(c):
-    return gm.stratified_folds(_log(c)).select("log_id", "label", "fold")
+    return gm.stratified_folds(_log(c), "log_id").select("log_id", "label", "fold")
 
 
 @query("o93_holdout_metrics")
 def _(c):
-    return gm.holdout_metrics(_log(c), columns=COLUMNS)
+    return gm.holdout_metrics(_log(c), "log_id", columns=COLUMNS)
 
 
 @query("o95_model_scan")
 def _(c):
-    split = gm.stratified_split(_log(c))
+    split = gm.stratified_split(_log(c), "log_id")
     model = gm.fit(split.where("NOT is_test"), columns=COLUMNS)
     return model.scan(split.where("is_test").select("log_id", "sql"))
 
 
 @query("o98_cross_validation")
 def _(c):
-    return gm.cross_validate(_log(c), columns=COLUMNS)
+    return gm.cross_validate(_log(c), "log_id", columns=COLUMNS)
 
 
 @query("o100_top_features")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tavola.functions.formatting import as_text, format_datetimes
-from tavola.functions.predicates import SOLD, equals, where_all
+from tavola.functions.predicates import SOLD, equals, only, where_all
 from tavola.operators import listing, reports as rep
 from tavola.plans.registry import query
 from tavola.sources import corpus
@@ -265,8 +265,7 @@ def _(c):
     """SELECT id, name FROM d_dishes WHERE price > (SELECT avg(CAST(price AS DOUBLE)) FROM d_dishes)""",
 )
 def _(c):
-    mean = c.dishes.agg(F.avg("price").alias("mean_price"))
-    return c.dishes.join(mean, F.col("price") > F.col("mean_price")).select("id", "name")
+    return c.dishes.where(F.col("price") > only(c.dishes, F.avg("price"))).select("id", "name")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tavola.functions.predicates import only
 from tavola.operators import access, quality as q
 from tavola.operators.reports import orders_by_status
 from tavola.plans.registry import query
@@ -273,8 +274,8 @@ def _(c):
     per_place = c.assignments.select("employee_id", "restaurant_id").distinct()
     who = viewers(c)
     seen = access.visible_counts(per_place, "employees", who.where(F.col("role") != "admin"))
-    everyone = c.employees.agg(F.count(F.lit(1)).alias("visible_rows"))
-    return seen.unionByName(who.where(F.col("role") == "admin").select("user_id").join(everyone))
+    everyone = only(c.employees, F.count(F.lit(1))).alias("visible_rows")
+    return seen.unionByName(who.where(F.col("role") == "admin").select("user_id", everyone))
 
 
 @query(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tavola.functions.predicates import only
+
 # The 21 tables of the store with their column types.
 SCHEMAS = {
     "cities": "id int, name string",
@@ -106,8 +108,6 @@ def catalog_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row with the number of rows of each table, as `<name>` columns."""
-    parts = [df.agg(F.count(F.lit(1)).alias(name)) for name, df in tables.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part)
-    return out
+    spark = next(iter(tables.values())).sparkSession
+    counts = [only(df, F.count(F.lit(1))).alias(name) for name, df in tables.items()]
+    return spark.range(1).select(*counts)
