@@ -40,7 +40,7 @@ def usable(batches: DataFrame) -> DataFrame:
     return batches.where(F.col("active") & (F.col("qty") > 0))
 
 
-def _ends(df: DataFrame, width: int, order: list[str], buckets: dict[str, Column], value: str) -> DataFrame:
+def _ends(df: DataFrame, order: list[str], buckets: dict[str, Column], value: str) -> DataFrame:
     total = {"end": F.col(value).cast(AMOUNT)}
     return running_total(df, KEYS, buckets, [F.asc(c) for c in order], total)
 
@@ -51,50 +51,55 @@ def _lot_ends(batches: DataFrame, width: int) -> DataFrame:
         *KEYS, "id", F.coalesce("expiry_date", F.lit(FAR)).alias("expiry_date"), "qty"
     )
     buckets = {"_day": F.col("expiry_date"), "_ids": id_bucket("id", width)}
-    ends = _ends(lots, width, ["id"], buckets, "qty")
+    ends = _ends(lots, ["id"], buckets, "qty")
     return ends.select(*KEYS, F.col("end").cast(AMOUNT).alias("end"), F.col("id").alias("batch_id"))
 
 
 def _need_ends(needs: DataFrame, width: int) -> DataFrame:
     wanted = needs.where(F.col("need") > 0).select(*KEYS, "order_id", "need")
-    ends = _ends(wanted, width, ["order_id"], {"_ids": id_bucket("order_id", width)}, "need")
+    ends = _ends(wanted, ["order_id"], {"_ids": id_bucket("order_id", width)}, "need")
     return ends.select(*KEYS, F.col("end").cast(AMOUNT).alias("end"), "order_id")
 
 
 def segments(
     batches: DataFrame, needs: DataFrame, width: int = 65536, span: float = 65536.0
 ) -> DataFrame:
-    """(keys, order_id, batch_id, take, end) over the whole axis of each key.
+    """(keys, order_id, batch_id, take, runs_past) over the whole axis of each key.
 
-    A NULL batch is unmet need, a NULL order is stock left over. `needs` has one
-    row per (keys, order_id). `width` ids and `span` units bound a window's rows.
+    A NULL batch is unmet need, a NULL order is stock left over. `runs_past` marks
+    the end of a batch whose need goes on. `needs` has one row per (keys,
+    order_id). `width` ids and `span` units bound a window's rows.
     """
-    lots, wanted = _lot_ends(batches, width), _need_ends(needs, width)
     none = F.lit(None).cast("bigint")
-    points = (
-        lots.withColumn("order_id", none)
-        .unionByName(wanted.withColumn("batch_id", none))
-        .groupBy(*KEYS, "end")
-        .agg(F.max("batch_id").alias("batch_id"), F.max("order_id").alias("order_id"))
-        .withColumn("_b", F.floor(F.col("end").cast("double") / span).cast("bigint"))
-    )
-    # Descending order: the last id seen is the next one along the axis.
+    lots = _lot_ends(batches, width).withColumn("order_id", none)
+    wanted = _need_ends(needs, width).withColumn("batch_id", none)
+    points = lots.unionByName(wanted).withColumn(
+        "_b", F.floor(F.col("end").cast("double") / span).cast("bigint")
+    )
+    # Descending order: the last id seen is the next one along the axis. A lot and
+    # a need may end at one point; as peers they see each other, and the second of
+    # them gets a distance of zero.
     inside = W.partitionBy(*KEYS, "_b").orderBy(F.desc("end"))
-    seen = inside.rowsBetween(W.unboundedPreceding, 0)
+    seen = inside.rangeBetween(W.unboundedPreceding, W.currentRow)
+    here = inside.rangeBetween(W.currentRow, W.currentRow)
     rows = points.select(
         *KEYS,
         "_b",
         "end",
         F.last("batch_id", True).over(seen).alias("batch_id"),
         F.last("order_id", True).over(seen).alias("order_id"),
+        (F.max("batch_id").over(here).isNotNull() & F.max("order_id").over(here).isNull()).alias("lot_only"),
         F.lead("end").over(inside).alias("start"),
     )
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("end")))
     outer = W.partitionBy(*KEYS).orderBy(F.desc("_b"))
     later = outer.rowsBetween(W.unboundedPreceding, -1)
     edges = (
-        points.groupBy(*KEYS, "_b")
-        .agg(first("batch_id").alias("b"), first("order_id").alias("o"), F.max("end").alias("e"))
+        rows.groupBy(*KEYS, "_b")
+        .agg(
+            F.min_by("batch_id", "end").alias("b"),
+            F.min_by("order_id", "end").alias("o"),
+            F.max("end").alias("e"),
+        )
         .select(
             *KEYS,
             "_b",
@@ -104,19 +109,24 @@ def segments(
         )
     )
     start = F.coalesce("start", "prev_end", F.lit(0).cast(AMOUNT))
-    return rows.join(edges, [*KEYS, "_b"]).select(
-        *KEYS,
-        F.coalesce("order_id", "next_order").alias("order_id"),
-        F.coalesce("batch_id", "next_batch").alias("batch_id"),
-        (F.col("end") - start).cast(AMOUNT).alias("take"),
-        "end",
+    order = F.coalesce("order_id", "next_order")
+    return (
+        rows.join(edges, [*KEYS, "_b"])
+        .select(
+            *KEYS,
+            order.alias("order_id"),
+            F.coalesce("batch_id", "next_batch").alias("batch_id"),
+            (F.col("end") - start).cast(AMOUNT).alias("take"),
+            (F.col("lot_only") & order.isNotNull()).alias("runs_past"),
+        )
+        .where(F.col("take") > 0)
     )
 
 
 def fifo_allocate(batches: DataFrame, needs: DataFrame, **size) -> DataFrame:
     """(keys, order_id, batch_id, take) in order of `order_id`; short needs are part filled."""
     met = F.col("order_id").isNotNull() & F.col("batch_id").isNotNull()
-    return segments(batches, needs, **size).where(met).drop("end")
+    return segments(batches, needs, **size).where(met).drop("runs_past")
 
 
 def fifo_shortage(batches: DataFrame, needs: DataFrame, **size) -> DataFrame:
@@ -148,19 +158,15 @@ def deplete(batches: DataFrame, needs: DataFrame, **size) -> DataFrame:
     A batch a need runs past is emptied and turned inactive; one that is used up
     exactly stays active with nothing left.
     """
-    segs = segments(batches, needs, **size)
-    met = segs.where(F.col("order_id").isNotNull() & F.col("batch_id").isNotNull())
-    taken = met.groupBy(*KEYS, F.col("batch_id").alias("id")).agg(
-        F.sum("take").alias("taken"), F.max_by("order_id", "end").alias("last_order")
-    )
-    ends = segs.where(F.col("order_id").isNotNull()).groupBy(*KEYS, F.col("order_id").alias("last_order")).agg(
-        F.max_by(F.coalesce("batch_id", F.lit(-1)), "end").alias("closing_batch")
-    )
-    state = taken.join(ends, [*KEYS, "last_order"]).select(
-        *KEYS, "id", "taken", (F.col("closing_batch") != F.col("id")).alias("run_past")
+    served = F.col("order_id").isNotNull() & F.col("batch_id").isNotNull()
+    state = (
+        segments(batches, needs, **size)
+        .where(served)
+        .groupBy(*KEYS, F.col("batch_id").alias("id"))
+        .agg(F.sum("take").alias("taken"), F.bool_or("runs_past").alias("run_past"))
     )
     left = F.col("qty") - F.coalesce("taken", F.lit(0))
-    emptied = (left <= 0) & F.coalesce("run_past", F.lit(False))
+    emptied = F.coalesce("run_past", F.lit(False))
     return (
         batches.join(state, [*KEYS, "id"], "left")
         .withColumn("active", F.col("active") & ~emptied)

@@ -38,17 +38,17 @@ def running_total(
 
     `buckets` are level columns, coarse to fine, that never decrease along
     `order` and are never NULL; together they bound the rows of one bucket.
-    `totals` maps each new column to the value it sums.
+    `totals` maps each new column to the value it sums, which is never negative.
+    A bucket's total is its largest running sum, so both sides of the join read
+    one and the same shuffle of `df` when they need the same columns.
     """
     levels = list(buckets)
-    rows = df.withColumns(buckets)
-    sums = rows.groupBy(*keys, *levels).agg(*[F.sum(v).alias(f"_{n}") for n, v in totals.items()])
-    earlier = _earlier(sums, keys, levels, [f"_{n}" for n in totals])
     inside = W.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    own = {n: F.sum(v).over(inside) for n, v in totals.items()}
+    rows = df.withColumns(buckets).withColumns({n: F.sum(v).over(inside) for n, v in totals.items()})
+    sums = rows.groupBy(*keys, *levels).agg(*[F.max(n).alias(f"_{n}") for n in totals])
+    earlier = _earlier(sums, keys, levels, [f"_{n}" for n in totals])
     return (
-        rows.withColumns(own)
-        .join(earlier, [*keys, *levels])
+        rows.join(earlier, [*keys, *levels])
         .withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals})
         .drop(*levels, *[f"_{n}" for n in totals])
     )
