@@ -75,7 +75,7 @@ def segments(
     wanted = _need_ends(needs, width).withColumn("batch_id", none)
     points = lots.unionByName(wanted).withColumn(
         "_b", F.floor(F.col("end").cast("double") / span).cast("bigint")
-    )
+    ).where(F.col("_b").isNotNull())
     # Descending order: the last id seen is the next one along the axis. A lot and
     # a need may end at one point; as peers they see each other, and the second of
     # them gets a distance of zero.

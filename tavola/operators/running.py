@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tavola.functions.predicates import where_all
+
 
 def _earlier(sums: DataFrame, keys: list[str], levels: list[str], names: list[str]) -> DataFrame:
     """Per bucket, the totals of all buckets before it, in place of its own."""
@@ -44,7 +46,9 @@ def running_total(
     """
     levels = list(buckets)
     inside = W.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = df.withColumns(buckets).withColumns({n: F.sum(v).over(inside) for n, v in totals.items()})
+    # The join below drops NULL keys; dropping them here keeps both its sides alike.
+    placed = where_all(df.withColumns(buckets), *[F.col(c).isNotNull() for c in (*keys, *levels)])
+    rows = placed.withColumns({n: F.sum(v).over(inside) for n, v in totals.items()})
     sums = rows.groupBy(*keys, *levels).agg(*[F.max(n).alias(f"_{n}") for n in totals])
     earlier = _earlier(sums, keys, levels, [f"_{n}" for n in totals])
     return (

@@ -178,7 +178,7 @@ class Chain:
         return self._lines("R", "id").agg(
             F.sum(F.col("l_quantity").cast("int")).cast(QTY).alias("qty"),
             F.date_add(F.max(F.to_date("l_shipdate")), 30).alias("expiry_date"),
-            (F.max("l_linestatus") == "O").alias("active"),
+            F.bool_or(F.col("l_linestatus") == "O").alias("active"),
             (F.min("l_linenumber") * 10).cast(QTY).alias("min_threshold"),
         )
 
