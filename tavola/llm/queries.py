@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, viterbi
+from tavola.llm import bpe, mixing, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -28,3 +28,18 @@ def op6_bpe(spark, folder):
     return bpe.bpe_encode(docs, BPE_FILE).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+#: The tables have no domain column; a source's number gives one of four.
+DOMAIN_OF_SOURCE = "concat('domain', try_cast(regexp_extract(source, '([0-9]+)', 1) AS INT) % 4)"
+DOMAIN_SQL = "'domain' || (TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) % 4)"
+WEIGHTS = [{"domain0": 4, "domain1": 3, "domain2": 2}, {"en": 5, "de": 2, "fr": 2}, {"src0": 3}]
+MIX = {"share": (1, 2), "max_epochs": 3, "seed": 1}
+
+
+@query("op5_mix", mixing.mix_sql({"domain": DOMAIN_SQL, "lang": "lang", "source": "source"}, WEIGHTS, **MIX))
+def op5_mix(spark, folder):
+    docs = table(spark, folder, "documents")
+    levels = {"domain": F.expr(DOMAIN_OF_SOURCE), "lang": F.col("lang"), "source": F.col("source")}
+    taken = mixing.mix(docs, levels, WEIGHTS, **MIX)
+    return taken.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "mix_tokens")
