@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, mixing, viterbi
+from tavola.llm import bpe, mixing, pii, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -43,3 +43,13 @@ def op5_mix(spark, folder):
     levels = {"domain": F.expr(DOMAIN_OF_SOURCE), "lang": F.col("lang"), "source": F.col("source")}
     taken = mixing.mix(docs, levels, WEIGHTS, **MIX)
     return taken.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "mix_tokens")
+
+
+#: A stand-in; a deployment passes its own secret.
+PII_KEY = "example key"
+
+
+@query("op7_pii")
+def op7_pii(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
