@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, mixing, pii, viterbi
+from tavola.llm import bpe, mixing, pii, toxicity, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -53,3 +53,16 @@ PII_KEY = "example key"
 def op7_pii(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    share = toxicity.bucket(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), share != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(share == 0, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
