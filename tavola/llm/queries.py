@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, mixing, pii, toxicity, viterbi
+from tavola.llm import bpe, minhash, mixing, pii, toxicity, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -66,3 +66,8 @@ def op9_toxicity(spark, folder):
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op2_minhash")
+def op2_minhash(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))
