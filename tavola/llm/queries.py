@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, minhash, mixing, pii, toxicity, viterbi
+from tavola.llm import bpe, minhash, mixing, pii, styletree, toxicity, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -71,3 +71,8 @@ def op9_toxicity(spark, folder):
 @query("op2_minhash")
 def op2_minhash(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_main_text")
+def op10_main_text(spark, folder):
+    return styletree.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
