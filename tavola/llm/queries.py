@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, minhash, mixing, pii, styletree, toxicity, viterbi
+from tavola.llm import bpe, langid, minhash, mixing, pii, styletree, toxicity, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -76,3 +76,12 @@ def op2_minhash(spark, folder):
 @query("op10_main_text")
 def op10_main_text(spark, folder):
     return styletree.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op3_language")
+def op3_language(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    share = langid.bucket(F.col("doc_id"), 3)
+    model = langid.fit(docs, share != 1)
+    held_out = F.coalesce(share == 1, F.lit(False)).alias("held_out")
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "rejected")
