@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, langid, minhash, mixing, pii, styletree, toxicity, viterbi
+from tavola.llm import bpe, langid, minhash, mixing, pii, projections, styletree, toxicity, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -85,3 +85,25 @@ def op3_language(spark, folder):
     model = langid.fit(docs, share != 1)
     held_out = F.coalesce(share == 1, F.lit(False)).alias("held_out")
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
+#: Cosines of all pairs with equal labels; components by the smallest vector reachable.
+OP1_SQL = """
+WITH RECURSIVE ok AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low.b, e.vec_id)) AS component_id,
+  least(e.vec_id, coalesce(low.b, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN links ON e.vec_id = links.a LEFT JOIN low ON e.vec_id = low.a
+"""
+
+
+@query("op1_projections", OP1_SQL)
+def op1_projections(spark, folder):
+    return projections.near_duplicates(table(spark, folder, "embeddings"))
