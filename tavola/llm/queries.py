@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, langid, minhash, mixing, pii, projections, styletree, toxicity, viterbi
+from tavola.llm import bpe, langid, minhash, mixing, nndescent, pii, projections, styletree, toxicity, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -107,3 +107,8 @@ FROM embeddings e LEFT JOIN links ON e.vec_id = links.a LEFT JOIN low ON e.vec_i
 @query("op1_projections", OP1_SQL)
 def op1_projections(spark, folder):
     return projections.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op8_nearest")
+def op8_nearest(spark, folder):
+    return nndescent.nearest(table(spark, folder, "embeddings"))
