@@ -129,15 +129,17 @@ def fifo_allocate(batches: DataFrame, needs: DataFrame, **size) -> DataFrame:
     return segments(batches, needs, **size).where(met).drop("runs_past")
 
 
-def fifo_shortage(batches: DataFrame, needs: DataFrame, **size) -> DataFrame:
-    """(keys, order_id, short_qty) of needs the stock does not cover."""
-    unmet = F.col("order_id").isNotNull() & F.col("batch_id").isNull()
-    return (
-        segments(batches, needs, **size)
-        .where(unmet)
-        .groupBy(*KEYS, "order_id")
-        .agg(F.sum("take").alias("short_qty"))
-    )
+def fifo_shortage(batches: DataFrame, needs: DataFrame, width: int = 65536) -> DataFrame:
+    """(keys, order_id, short_qty) of needs the stock does not cover.
+
+    A need lacks what its running total exceeds the key's supply by, at most itself.
+    """
+    supply = usable(batches).groupBy(*KEYS).agg(F.sum("qty").cast(AMOUNT).alias("supply"))
+    wanted = needs.where(F.col("need") > 0).select(*KEYS, "order_id", F.col("need").cast(AMOUNT).alias("need"))
+    ends = _ends(wanted, ["order_id"], {"_ids": id_bucket("order_id", width)}, "need")
+    over = F.col("end") - F.coalesce("supply", F.lit(0))
+    short = F.least("need", over).cast(AMOUNT)
+    return ends.join(supply, KEYS, "left").where(over > 0).select(*KEYS, "order_id", short.alias("short_qty"))
 
 
 def movements(allocation: DataFrame) -> DataFrame:

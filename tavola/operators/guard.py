@@ -69,10 +69,14 @@ def threshold(sql: Column) -> Column:
 
 
 def undecided(df: DataFrame, sql: str = "sql") -> DataFrame:
-    """Statements no layer before the model decides."""
-    staged = _staged(df, sql)
-    kept = staged.where("NOT _white AND _structure IS NULL AND _rule IS NULL")
-    return kept.drop(*_WORK)
+    """Statements no layer before the model decides.
+
+    The filter needs a row number that only exists above the findings, so it is not
+    pushed below them, where each finding would be written out again.
+    """
+    staged = _staged(df, sql).withColumn("_row", F.monotonically_increasing_id())
+    kept = staged.where("_row >= 0 AND NOT _white AND _structure IS NULL AND _rule IS NULL")
+    return kept.drop("_row", *_WORK)
 
 
 def rule_findings(df: DataFrame, sql: str = "sql") -> DataFrame:

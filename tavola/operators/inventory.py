@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from tavola.functions.predicates import fill_zero
-from tavola.operators.fifo import KEYS
+from tavola.operators.fifo import AMOUNT, KEYS, accepted_orders, deplete, fifo_allocate, movements
 from tavola.operators.reports import revenue
+from tavola.session import cut
 
 # Request states that count as open, the threshold used when no
 # batch has one, and the factor from threshold to requested quantity.
@@ -67,6 +68,30 @@ def reorder(after: DataFrame, touched: DataFrame, requests: DataFrame) -> DataFr
     )
 
 
+def reorder_after(batches: DataFrame, needs: DataFrame, requests: DataFrame) -> DataFrame:
+    """New purchase requests once `needs` are served in part or whole, without the depletion itself.
+
+    What is left of a key is its active stock minus the smaller of its need and its
+    usable stock; which batch it comes from does not matter.
+    """
+    active = F.col("active")
+    levels = batches.groupBy(*KEYS).agg(
+        F.min("min_threshold").alias("threshold"),
+        fill_zero(F.sum(F.when(active, F.col("qty")))).cast(AMOUNT).alias("stock"),
+        fill_zero(F.sum(F.when(active & (F.col("qty") > 0), F.col("qty")))).cast(AMOUNT).alias("usable"),
+    )
+    wanted = needs.groupBy(*KEYS).agg(F.sum(F.when(F.col("need") > 0, F.col("need")).otherwise(0)).cast(AMOUNT).alias("need"))
+    open_ = requests.where(F.col("status").isin(*OPEN_REQUESTS)).select(*KEYS).distinct()
+    threshold = F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))
+    left_qty = fill_zero(F.col("stock") - F.least("need", "usable"))
+    return (
+        wanted.join(levels, KEYS, "left")
+        .where(left_qty <= threshold)
+        .join(open_, KEYS, "left_anti")
+        .select(*KEYS, (threshold * REORDER_FACTOR).alias("qty"), F.lit("new").alias("status"))
+    )
+
+
 def expire(batches: DataFrame, today: dt.date) -> DataFrame:
     """Batches past their date made inactive."""
     late = F.coalesce(F.col("expiry_date") < F.lit(today), F.lit(False))
@@ -78,25 +103,45 @@ def finalise(
 ) -> DataFrame:
     """Orders completed at `at` by `user`, or by who created them.
 
-    Orders already final stay as they are; with `accepted` (order_id) so do those
-    the stock could not serve.
+    Orders already final stay as they are, with their completion values; so do those that `accepted`
+    (order_id, accepted) refuses. Orders it does not list need no stock and are completed.
     """
     open_ = ~F.col("is_finalized")
     source = orders
     if accepted is not None:
-        mark = accepted.select(F.col("order_id").alias("id"), F.lit(True).alias("_ok"))
-        source = orders.join(mark, "id", "left")
-        open_ = open_ & F.coalesce("_ok", F.lit(False))
+        refused = accepted.where(~F.col("accepted")).select(F.col("order_id").alias("id"), F.lit(True).alias("_refused"))
+        source = orders.join(refused, "id", "left")
+        open_ = open_ & F.col("_refused").isNull()
     by = F.coalesce(F.lit(user).cast(orders.schema["created_by_user"].dataType), F.col("created_by_user"))
     return source.select(
         "id",
         F.when(open_, F.lit("completed")).otherwise(F.col("status")).alias("status"),
         (F.col("is_finalized") | open_).alias("is_finalized"),
-        F.when(open_, F.lit(str(at)).cast("timestamp_ntz")).alias("completed_at"),
-        F.when(open_, by).alias("completed_by_user"),
+        F.when(open_, F.lit(str(at)).cast("timestamp_ntz")).otherwise(F.col("completed_at").cast("timestamp_ntz")).alias("completed_at"),
+        F.when(open_, by).otherwise(F.col("completed_by_user")).alias("completed_by_user"),
     )
 
 
+def finalise_all(
+    orders: DataFrame, needs: DataFrame, batches: DataFrame, dishes: DataFrame, recipe: DataFrame,
+    at: dt.datetime, user: int | str | None = None,
+) -> dict[str, DataFrame]:
+    """All open orders in order of id: `orders` completed where stock serves them whole, `movements`,
+    `batches` after them and `dishes` with their availability.
+
+    `needs` holds the lines of the open orders.
+    """
+    verdict = cut(accepted_orders(batches, needs))
+    good = needs.join(verdict.where("accepted").select("order_id"), "order_id", "left_semi")
+    after = deplete(batches, good)
+    return {
+        "orders": finalise(orders, at, user, verdict),
+        "movements": movements(fifo_allocate(batches, good)),
+        "batches": after,
+        "dishes": dish_availability(dishes, recipe, after),
+    }
+
+
 def manual_requests(batches: DataFrame, chosen: DataFrame, qty: float | None = None) -> DataFrame:
     """One request per chosen batch: `qty`, else its threshold, else 1.
 

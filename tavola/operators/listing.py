@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tavola.functions.predicates import equals, has_all_words, where_all
 
-# Row limits of the listings.
+# Page sizes, the defaults of the listings. A larger limit is honoured, None means all rows.
 MENU_LIMIT = 200
 ORDERS_LIMIT = 300
-BROWSE_LIMIT = 5000
+BROWSE_LIMIT = 100
 
 
-def browse(df: DataFrame, where: Column | str | None = None, limit: int = 100) -> DataFrame:
-    """First `limit` rows (1 to 5000) by the first column, ties broken by the rest."""
+def first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(max(1, limit))
+
+
+def browse(df: DataFrame, where: Column | str | None = None, limit: int | None = BROWSE_LIMIT) -> DataFrame:
+    """First `limit` rows by the first column, ties broken by the rest."""
     if isinstance(where, str):
         where = F.expr(where) if where.strip() else None
     sortable = [
@@ -21,8 +25,7 @@ def browse(df: DataFrame, where: Column | str | None = None, limit: int = 100) -
         for f in df.schema.fields
         if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))
     ]
-    count = min(max(1, limit), BROWSE_LIMIT)
-    return where_all(df, where).orderBy(*[F.asc_nulls_last(c) for c in sortable]).limit(count)
+    return first(where_all(df, where).orderBy(*[F.asc_nulls_last(c) for c in sortable]), limit)
 
 
 def menu(
@@ -34,7 +37,7 @@ def menu(
     price_max: float | None = None,
     keyword: str | None = None,
     words: str | None = None,
-    limit: int = MENU_LIMIT,
+    limit: int | None = MENU_LIMIT,
 ) -> DataFrame:
     """Dishes matching every given filter, by location and name.
 
@@ -53,7 +56,7 @@ def menu(
         None if not words else has_all_words("name", words),
     )
     columns = ("id", "restaurant_id", "name", "category", "price", "prep_time_minutes", "is_available")
-    return kept.select(*columns).orderBy("restaurant_id", "name", "id").limit(limit)
+    return first(kept.select(*columns).orderBy("restaurant_id", "name", "id"), limit)
 
 
 def orders_list(
@@ -61,7 +64,7 @@ def orders_list(
     tables: DataFrame,
     restaurant_id: int | None = None,
     status: str | None = None,
-    limit: int = ORDERS_LIMIT,
+    limit: int | None = ORDERS_LIMIT,
 ) -> DataFrame:
     """Newest orders with their dining table's number.
 
@@ -70,7 +73,7 @@ def orders_list(
     """
     newest = [F.desc_nulls_first("order_time"), F.asc("id")]
     kept = where_all(orders, equals("restaurant_id", restaurant_id), equals("status", status))
-    top = kept.orderBy(*newest).limit(limit)
+    top = first(kept.orderBy(*newest), limit)
     numbers = tables.select(F.col("id").alias("table_id"), "table_number")
     return top.join(numbers, "table_id", "left").select(
         "id",

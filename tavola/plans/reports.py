@@ -38,7 +38,7 @@ def _(c):
 )
 def _(c):
     wanted = c.orders_by_key.select("id", "created_by_user", "total_amount", "status")
-    return listing.browse(wanted, "total_amount > 250000", 9999)
+    return listing.browse(wanted, "total_amount > 250000", 5000)
 
 
 @query("o03_corpus_clean", "SELECT DISTINCT sql AS query, CAST(label AS BIGINT) AS label FROM d_sql_log")

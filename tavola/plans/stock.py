@@ -184,6 +184,26 @@ def _(c):
     return lines.groupBy(*fifo.KEYS).agg(F.count("order_id").alias("orders"), F.sum("need").alias("need"))
 
 
+@query(
+    "o69_movements",
+    f"""{FIFO} SELECT {LOC}, ingredient_id, batch_id, CAST(-take AS DOUBLE) AS change_qty, 'order' AS reason, order_id AS related_order_id
+        FROM take""",
+)
+def _(c):
+    return fifo.movements(fifo.fifo_allocate(c.batches, c.consumption))
+
+
+@query("o71b_finalise_all")
+def _(c):
+    open_ = c.orders_by_key.where("NOT is_finalized")
+    needs = c.consumption.join(open_.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    made = inv.finalise_all(c.orders_by_key, needs, c.batches, c.dishes, c.recipe, dt.datetime(2001, 8, 1, 12))
+    moved = made["movements"].groupBy(F.col("related_order_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("movements"), F.sum("change_qty").alias("change_qty")
+    )
+    return made["orders"].join(moved, "id", "left")
+
+
 @query("o69_fifo_strict")
 def _(c):
     return fifo.fifo_allocate_strict(c.batches, c.consumption)
@@ -220,15 +240,14 @@ def _(c):
             AND p.ingredient_id = k.ingredient_id AND p.status IN ('new', 'ordered'))""",
 )
 def _(c):
-    after = fifo.deplete(c.batches, c.consumption)
-    return inv.reorder(after, c.consumption, c.purchase_requests)
+    return inv.reorder_after(c.batches, c.consumption, c.purchase_requests)
 
 
 @query(
     "o71b_finalise",
     """SELECT id, 'completed' AS status, true AS is_finalized,
-              CASE WHEN NOT is_finalized THEN '2001-08-01 12:00:00' END AS completed_at,
-              CASE WHEN NOT is_finalized THEN created_by_user END AS completed_by_user FROM d_orders""",
+              CASE WHEN NOT is_finalized THEN '2001-08-01 12:00:00' ELSE strftime(completed_at, '%Y-%m-%d %H:%M:%S') END AS completed_at,
+              CASE WHEN NOT is_finalized THEN created_by_user ELSE completed_by_user END AS completed_by_user FROM d_orders""",
 )
 def _(c):
     return inv.finalise(c.orders_by_key, dt.datetime(2001, 8, 1, 12))

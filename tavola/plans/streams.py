@@ -9,7 +9,7 @@ from tavola.streaming import jobs
 
 
 class StreamChain(Chain):
-    """The chain's tables with every file read as a stream."""
+    """The chain's tables read as streams, whether a table is a file or a folder."""
 
     def raw(self, name):
         return jobs.read_files(self.spark, self.folder, f"{name}.parquet")
@@ -21,8 +21,7 @@ class StreamChain(Chain):
 )
 def _(c):
     live = StreamChain(c.spark, c.folder)
-    folder = jobs.run(jobs.order_totals(live.items), "update")
-    return jobs.latest(jobs.results(c.spark, folder), ["order_id"])
+    return jobs.finished(jobs.order_totals(live.items), "update", lambda r: jobs.latest(r, ["order_id"]))
 
 
 @query(
@@ -33,8 +32,8 @@ def _(c):
 )
 def _(c):
     live = StreamChain(c.spark, c.folder)
-    folder = jobs.run(jobs.hourly_load(live.order_log), "update")
-    return jobs.latest(jobs.results(c.spark, folder), ["restaurant_id", "hour_start"])
+    keys = ["restaurant_id", "hour_start"]
+    return jobs.finished(jobs.hourly_load(live.order_log), "update", lambda r: jobs.latest(r, keys))
 
 
 @query(
@@ -44,5 +43,5 @@ def _(c):
 )
 def _(c):
     live = StreamChain(c.spark, c.folder)
-    folder = jobs.run(jobs.screened(live.sql_log.select("log_id", "sql")))
-    return jobs.results(c.spark, folder).select("log_id", "allowed", "layer", "reason")
+    log = live.sql_log.select("log_id", "sql")
+    return jobs.finished(jobs.screened(log), "append", lambda r: r.select("log_id", "allowed", "layer", "reason"))

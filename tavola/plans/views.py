@@ -24,7 +24,9 @@ VIEWS = {
                CASE WHEN o_orderpriority <> '1-URGENT' THEN c_nationkey * 5 + o_orderkey % 5 END AS table_id,
                c_name AS guest_name, o_custkey AS created_by_user, o_orderdate AS order_time,
                CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'served' WHEN 'O' THEN 'created' END AS status,
-               CAST(o_totalprice AS DECIMAL(12,2)) AS total_amount, o_orderstatus = 'F' AS is_finalized
+               CAST(o_totalprice AS DECIMAL(12,2)) AS total_amount, o_orderstatus = 'F' AS is_finalized,
+               CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR END AS completed_at,
+               CASE WHEN o_orderstatus = 'F' THEN o_custkey + 1 END AS completed_by_user
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "d_items": """
         SELECT l_orderkey AS order_id, l_partkey AS dish_id, CAST(l_quantity AS INT) AS qty,

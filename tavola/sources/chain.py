@@ -49,6 +49,13 @@ def _location(key: str) -> Column:
     return (F.col(key) % LOCATIONS).cast("int")
 
 
+def _completion() -> list[Column]:
+    """Finished orders were completed an hour after they came in, by the user after their creator."""
+    done = F.col("o_orderstatus") == "F"
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 1 HOUR")
+    return [F.when(done, at).alias("completed_at"), F.when(done, F.col("o_custkey") + 1).alias("completed_by_user")]
+
+
 class Chain:
     """Lazily defined tables over one folder of parquet files."""
 
@@ -126,6 +133,7 @@ class Chain:
             _lookup("o_orderstatus", ORDER_STATES).alias("status"),
             F.col("o_totalprice").cast(MONEY).alias("total_amount"),
             (F.col("o_orderstatus") == "F").alias("is_finalized"),
+            *_completion(),
         )
 
     @cached_property
@@ -138,6 +146,7 @@ class Chain:
             _lookup("o_orderstatus", ORDER_STATES).alias("status"),
             F.col("o_totalprice").cast(MONEY).alias("total_amount"),
             (F.col("o_orderstatus") == "F").alias("is_finalized"),
+            *_completion(),
         )
 
     @cached_property

@@ -7,23 +7,33 @@ retry overwrites, so a batch that runs twice is counted once.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tavola.operators import guard
 from tavola.operators.reports import revenue
-from tavola.session import shared_dir
+from tavola.session import cut, shared_dir
 
 
-def read_files(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """Parquet files of a folder whose name matches, as a stream."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def read_files(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table as a stream: a folder of Parquet files, or the files of `folder` whose name matches.
+
+    `files_per_batch` bounds a micro-batch; without it, one takes all files that are there.
+    """
+    files, path = _path(spark, f"{folder}/{name}")
+    is_folder = "*" not in name and files.exists(path) and files.getFileStatus(path).isDirectory()
+    options = {} if is_folder else {"pathGlobFilter": name}
+    source = f"{folder}/{name}" if is_folder else folder
+    schema = spark.read.options(**options).parquet(source).schema
+    if files_per_batch is not None:
+        options["maxFilesPerTrigger"] = files_per_batch
+    return spark.readStream.schema(schema).options(**options).parquet(source)
 
 
 def order_totals(items: DataFrame) -> DataFrame:
@@ -31,12 +41,17 @@ def order_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("order_id").agg(F.sum(revenue()).alias("total_amount"))
 
 
-def hourly_load(orders: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Orders per location and hour window, with rows up to `late` behind still counted."""
+def hourly_load(orders: DataFrame, late: str | None = None) -> DataFrame:
+    """Orders per location and hour window.
+
+    Without `late` every row counts, in whatever order files arrive, and the state has one row per
+    location and hour. With it, closed hours leave the state and rows further
+    behind are dropped; `run` reports how many.
+    """
     timed = orders.withColumn("order_time", F.col("order_time").cast("timestamp"))
+    timed = timed if late is None else timed.withWatermark("order_time", late)
     return (
-        timed.withWatermark("order_time", late)
-        .groupBy("restaurant_id", F.window("order_time", "1 hour").alias("hour"))
+        timed.groupBy("restaurant_id", F.window("order_time", "1 hour").alias("hour"))
         .agg(F.count(F.lit(1)).alias("orders_count"))
         .select("restaurant_id", F.col("hour.start").alias("hour_start"), "orders_count")
     )
@@ -47,10 +62,18 @@ def screened(log: DataFrame, sql: str = "sql") -> DataFrame:
     return guard.scan(log, sql)
 
 
-def run(stream: DataFrame, mode: str = "append", folder: str | None = None, checkpoint: str | None = None) -> str:
+def run(
+    stream: DataFrame,
+    mode: str = "append",
+    folder: str | None = None,
+    checkpoint: str | None = None,
+    dropped: list[int] | None = None,
+) -> str:
     """Run a stream over the input that is there and return the folder of its output.
 
-    A repeated call with the same `checkpoint` goes on where the last one ended.
+    A repeated call with the same `checkpoint` goes on where the last one ended;
+    without one, the state is removed at the end. `dropped` gets the number of
+    rows that came too late for the stream's watermark.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -67,9 +90,28 @@ def run(stream: DataFrame, mode: str = "append", folder: str | None = None, chec
         .start()
     )
     query.awaitTermination()
+    if dropped is not None:
+        progress = [p.stateOperators for p in query.recentProgress]
+        dropped.append(sum(op.numRowsDroppedByWatermark for ops in progress for op in ops))
+    if checkpoint is None:
+        remove(spark, f"{base}/state")
     return folder
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    files, path = _path(spark, folder)
+    files.delete(path, True)
+
+
+def finished(stream: DataFrame, mode: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`shape` of what the stream wrote, kept as a checkpoint; the stream's folder is removed."""
+    spark = stream.sparkSession
+    folder = run(stream, mode)
+    result = cut(shape(results(spark, folder)))
+    remove(spark, folder.removesuffix("/out"))
+    return result
+
+
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """All rows a stream wrote, with their `batch`."""
     return spark.read.option("basePath", folder).parquet(folder)

@@ -116,7 +116,7 @@ def test_random_against_walk(spark, seed):
     takes, short, _ = walk(stock, wants, strict=False)
     got = {tuple(r[:4]): r[4] for r in fifo.fifo_allocate(stock_df, want_df, **SMALL).collect()}
     assert got == takes
-    lacking = {tuple(r[:3]): r[3] for r in fifo.fifo_shortage(stock_df, want_df, **SMALL).collect()}
+    lacking = {tuple(r[:3]): r[3] for r in fifo.fifo_shortage(stock_df, want_df, SMALL["width"]).collect()}
     assert lacking == short
     after = {r["id"]: r["qty"] for r in fifo.deplete(stock_df, want_df, **SMALL).collect()}
     used = {}

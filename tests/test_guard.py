@@ -194,3 +194,12 @@ def test_summary(spark):
     df = spark.createDataFrame([(s,) for s, _ in ATTACKS] + [("select * from t",)], "sql string")
     got = rows(guard.summary(guard.scan(df)))
     assert got == [("ml", None, 6), ("rule_based", False, 15), ("whitelist", True, 1)]
+
+
+def test_undecided_is_not_unfolded(spark, data):
+    from tavola.sources.chain import Chain
+
+    log = Chain(spark, data).sql_log.select("log_id", "sql")
+    plan = guard.undecided(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 4
+    assert rows(guard.undecided(log), "log_id") == rows(guard.scan(log).where("layer = 'ml'"), "log_id")

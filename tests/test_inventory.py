@@ -63,16 +63,46 @@ def test_expire(spark):
 
 
 def test_finalise(spark):
+    before, at = dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1, 10)
     orders = spark.createDataFrame(
-        [(1, "created", False, 7), (2, "completed", True, 8), (3, "created", False, 9)],
-        "id long, status string, is_finalized boolean, created_by_user long",
+        [(1, "created", False, 7, None, None), (2, "completed", True, 8, before, 4), (3, "created", False, 9, None, None),
+         (4, "created", False, 6, None, None)],
+        "id long, status string, is_finalized boolean, created_by_user long, completed_at timestamp_ntz, completed_by_user long",
     )
-    at = dt.datetime(2025, 1, 1, 10)
-    accepted = spark.createDataFrame([(1,), (2,)], "order_id long")
+    accepted = spark.createDataFrame([(1, True), (3, False)], "order_id long, accepted boolean")
     got = rows(inv.finalise(orders, at, accepted=accepted))
-    assert got == [(1, "completed", True, at, 7), (2, "completed", True, None, None), (3, "created", False, None, None)]
+    assert got == [(1, "completed", True, at, 7), (2, "completed", True, before, 4), (3, "created", False, None, None),
+                   (4, "completed", True, at, 6)]
     named = rows(inv.finalise(orders, at, user=5), "id", "completed_by_user")
-    assert named == [(1, 5), (2, None), (3, 5)]
+    assert named == [(1, 5), (2, 4), (3, 5), (4, 5)]
+
+
+def test_finalise_all(spark):
+    at = dt.datetime(2025, 1, 1)
+    orders = spark.createDataFrame(
+        [(i, "created", False, i, None, None) for i in (1, 2, 3)],
+        "id long, status string, is_finalized boolean, created_by_user long, completed_at timestamp_ntz, completed_by_user long",
+    )
+    stock = batches(spark, [(1, 1, 1, D(5), None, True, None)])
+    needs = spark.createDataFrame([(1, 1, 1, D(4)), (1, 1, 2, D(3))], "restaurant_id int, ingredient_id int, order_id long, need decimal(12,4)")
+    dishes = spark.createDataFrame([(1, 1), (2, 1)], "id int, restaurant_id int")
+    recipe = spark.createDataFrame([(1, 1, D(1)), (2, 1, D(2))], "dish_id int, ingredient_id int, qty_required decimal(12,4)")
+    made = inv.finalise_all(orders, needs, stock, dishes, recipe, at)
+    assert rows(made["orders"], "id", "is_finalized") == [(1, True), (2, False), (3, True)]
+    assert rows(made["movements"], "batch_id", "change_qty", "related_order_id") == [(1, D(-4), 1)]
+    assert rows(made["batches"], "id", "qty") == [(1, D(1))]
+    assert rows(made["dishes"], "id", "is_available") == [(1, True), (2, False)]
+
+
+def test_reorder_without_depletion(spark, data):
+    from tavola.operators import fifo
+    from tavola.sources.chain import Chain
+
+    c = Chain(spark, data)
+    lean = inv.reorder_after(c.batches, c.consumption, c.purchase_requests)
+    whole = inv.reorder(fifo.deplete(c.batches, c.consumption), c.consumption, c.purchase_requests)
+    assert rows(lean) == rows(whole)
+    assert "Window" not in lean._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_manual_requests(spark):

@@ -10,7 +10,9 @@ from tests.conftest import rows
 
 def test_browse(spark):
     df = spark.range(6000).select((5999 - F.col("id")).alias("id"))
-    assert listing.browse(df, limit=99999).count() == 5000
+    assert listing.browse(df, limit=5500).count() == 5500
+    assert listing.browse(df, limit=None).count() == df.count() > 5500
+    assert listing.browse(df).count() == 100
     assert [r[0] for r in listing.browse(df, "id > 3", 2).collect()] == [4, 5]
     assert listing.browse(df, " ", 0).count() == 1
 

@@ -22,18 +22,36 @@ def test_totals_over_files_and_restart(spark, data, tmp_path):
     whole = spark.read.parquet(folder)
     orders = whole.select(F.col("order_id").alias("id")).distinct()
     assert rows(got) == rows(inventory.order_totals(orders, whole))
-    assert jobs.results(spark, out).select("batch").distinct().count() == 5
+    assert jobs.results(spark, out).select("batch").distinct().count() == 2
 
 
-def test_hourly_load_matches_batch(spark, data, tmp_path):
+def by_hour(log):
+    return log.groupBy("restaurant_id", F.date_trunc("hour", F.col("order_time").cast("timestamp")).alias("hour_start")).agg(
+        F.count(F.lit(1)).alias("orders_count"))
+
+
+def test_hourly_load_in_any_form_and_order(spark, data, tmp_path):
     log = Chain(spark, data).order_log
+    want = rows(by_hour(log))
+    keys = ["restaurant_id", "hour_start"]
+    for name, parts in (("one", 1), ("folder", 3), ("scattered", 5)):
+        folder = str(tmp_path / name)
+        log.orderBy(F.xxhash64("id")).repartition(parts).write.parquet(f"{folder}/log.parquet")
+        for batch in (None, 1):
+            stream = jobs.hourly_load(jobs.read_files(spark, folder, "log.parquet", batch))
+            assert rows(jobs.finished(stream, "update", lambda r: jobs.latest(r, keys))) == want
+
+
+def test_dropped_rows_are_counted(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 12)
     folder = str(tmp_path / "in")
-    log.repartitionByRange(3, "order_time").write.parquet(folder)
-    stream = jobs.hourly_load(jobs.read_files(spark, folder, "*.parquet"))
-    got = jobs.latest(jobs.results(spark, jobs.run(stream, "update", str(tmp_path / "out"))), ["restaurant_id", "hour_start"])
-    want = log.groupBy("restaurant_id", F.date_trunc("hour", F.col("order_time").cast("timestamp")).alias("hour_start")).agg(
-        F.count(F.lit(1)).alias("orders_count"))
-    assert rows(got) == rows(want)
+    dropped = []
+    for hours in ((0, 9), (0, 20)):
+        made = spark.createDataFrame([(1, at + dt.timedelta(hours=h)) for h in hours], "restaurant_id int, order_time timestamp")
+        made.coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.hourly_load(jobs.read_files(spark, folder, "*.parquet"), "1 hour")
+        jobs.run(stream, "append", str(tmp_path / "out"), str(tmp_path / "state"), dropped)
+    assert dropped[0] == 0 and dropped[1] >= 1
 
 
 def test_late_rows_are_dropped_behind_the_watermark(spark, tmp_path):
@@ -46,9 +64,9 @@ def test_late_rows_are_dropped_behind_the_watermark(spark, tmp_path):
 
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     put(0, 9)
-    jobs.run(jobs.hourly_load(jobs.read_files(spark, folder, "*.parquet")), "append", out, state)
+    jobs.run(jobs.hourly_load(jobs.read_files(spark, folder, "*.parquet"), "1 hour"), "append", out, state)
     put(0, 20)
-    jobs.run(jobs.hourly_load(jobs.read_files(spark, folder, "*.parquet")), "append", out, state)
+    jobs.run(jobs.hourly_load(jobs.read_files(spark, folder, "*.parquet"), "1 hour"), "append", out, state)
     got = {r["hour_start"]: r["orders_count"] for r in jobs.results(spark, out).collect()}
     assert got[at] == 1
 
