@@ -298,7 +298,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
     for y, n in counts.items():
         share = F.when(F.col("_y") == y, min(1.0, rows_per_label / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1_000_000)) < share * 1_000_000
-    rows = docs.select(doc_id, text).join(known.where(drawn), doc_id).select(F.col(doc_id), F.col(text), "_y").collect()
+    # The ids drawn are a bounded sample, so they are sent to the texts and not the other way round.
+    rows = docs.select(doc_id, text).join(F.broadcast(known.where(drawn)), doc_id).select(F.col(doc_id), F.col(text), "_y").collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return [r[1] for r in rows], [int(r[2]) for r in rows]
 
