@@ -1,0 +1,64 @@
+"""Pseudonyms keep formats, link equal values and are one to one."""
+
+import datetime as dt
+import re
+
+from pyspark.sql import functions as F
+
+from tavola.llm import pii
+
+
+def replaced(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.pseudonymise(df, key).orderBy("doc_id").collect()]
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_formats(spark):
+    texts = [
+        "write to bosbt.42@mail8.example.com now", "x +1 (988) 555-2485 4524132264652876 y", "a 4041894974608796 b", "4041 8949 7460 8795!",
+        "ip 70.123.182.155. or 300.1.1.1 v1.2.3.4.5", "on 2020-02-29 or 29/02/2020 or 30.02.2020", "ssn 123-45-6789 666-12-3456",
+        "DE89370400440532013000 DE88370400440532013000", None, "", "Licensed under CC BY-NC 4.0, version 3.",
+    ]
+    got = replaced(spark, texts)
+    assert re.fullmatch(r"write to [a-z]{5}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com now", got[0]) and got[0] != texts[0]
+    m = re.fullmatch(r"x \+1 \(\d{3}\) \d{3}-\d{4} (4\d{15}) y", got[1])
+    assert luhn(m[1]) and m[1] not in texts[1]
+    assert got[2] == texts[2]
+    assert luhn(re.sub(r"\D", "", got[3])) and re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}!", got[3])
+    octets = re.match(r"ip (\d+)\.(\d+)\.(\d+)\.(\d+)\. or 300\.1\.1\.1 v1\.2\.3\.4\.5$", got[4])
+    assert all(int(x) < 256 for x in octets.groups())
+    one, two = re.match(r"on (\S+) or (\S+) or 30\.02\.2020", got[5]).groups()
+    assert dt.date.fromisoformat(one) == dt.datetime.strptime(two, "%d/%m/%Y").date() != dt.date(2020, 2, 29)
+    assert re.fullmatch(r"ssn (?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4} 666-12-3456", got[6]) and "123-45" not in got[6]
+    iban = got[7].split()
+    turned = "".join(str(int(c, 36)) for c in iban[0][4:] + iban[0][:4])
+    assert int(turned) % 97 == 1 and iban[0] != "DE89370400440532013000" and iban[1] == "DE88370400440532013000"
+    assert got[8:] == texts[8:]
+
+
+def test_equal_values_are_linked_and_keys_matter(spark):
+    texts = ["a@b.org", "see a@b.org and 4041894974608795", "4041-8949-7460-8795"]
+    one = replaced(spark, texts)
+    assert one[0] in one[1] and one[2].replace("-", "") in one[1]
+    assert replaced(spark, texts) == one != replaced(spark, texts, "other")
+
+
+def test_permutations(spark):
+    numbers = spark.range(189 * 773).select(pii.feistel_number(F.col("id"), 189, 773, "k", "t").alias("n"))
+    assert numbers.agg(F.countDistinct("n"), F.min("n"), F.max("n")).first() == (146097, 0, 146096)
+    words = spark.range(17576).select(F.format_string("%c%c%c-7", F.lit(97) + F.col("id") % 26, F.lit(97) + (F.col("id") / 26).cast("int") % 26, F.lit(97) + (F.col("id") / 676).cast("int")).alias("w"))
+    assert words.select(pii.feistel_text(F.col("w"), "k", "t").alias("p")).agg(F.countDistinct("p")).first()[0] == 17576
+
+
+def test_plan_is_native_and_columns_stay(spark):
+    df = spark.createDataFrame([(1, "x", "y 70.1.2.3", "z")], "n_replaced int, Other string, text string, source string")
+    made = pii.pseudonymise(df, "k")
+    assert made.columns == df.columns and made.first()["n_replaced"] == 1
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    long = "w " * 200_000 + "a@b.org"
+    assert replaced(spark, [long])[0].startswith("w w ") and "a@b.org" not in replaced(spark, [long])[0]
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
