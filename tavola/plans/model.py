@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tavola.operators import guardmodel as gm, metrics, textweights
+from tavola.plans.guard import LOG, SCAN
 from tavola.plans.registry import query
 
-# Number of hashed columns of the registered models.
-COLUMNS = 1 << 12
+# Most n-grams of the classifier of documents, whose texts have far more of them than statements.
+TEXT_VOCABULARY = 1 << 16
 
 _GRAMS = """list_concat(list_concat(
     list_transform(range(1, len(x) - 1), lambda i: x[i] || x[i + 1] || x[i + 2]),
@@ -77,25 +78,65 @@ def _(c):
 
 @query("o93_holdout_metrics")
 def _(c):
-    return gm.holdout_metrics(_log(c), "log_id", columns=COLUMNS)
+    return gm.holdout_metrics(_log(c), "log_id")
 
 
 @query("o95_model_scan")
 def _(c):
     split = gm.stratified_split(_log(c), "log_id")
-    model = gm.fit(split.where("NOT is_test"), columns=COLUMNS)
+    model = gm.fit(split.where("NOT is_test"))
     return model.scan(split.where("is_test").select("log_id", "sql"))
 
 
 @query("o98_cross_validation")
 def _(c):
-    return gm.cross_validate(_log(c), "log_id", columns=COLUMNS)
+    return gm.cross_validate(_log(c), "log_id")
 
 
 @query("o100_top_features")
 def _(c):
     log = _log(c)
-    return gm.top_features(gm.fit(log, columns=COLUMNS), log)
+    return gm.top_features(log, gm.fit(log))
+
+
+VERDICTS = f"WITH {LOG} SELECT log_id, CASE WHEN layer = 'ml' THEN NULL ELSE allowed END AS allowed, CASE WHEN layer = 'ml' THEN NULL ELSE layer END AS layer FROM ({SCAN})"
+
+
+@query("o95_rules_kept_by_model", VERDICTS)
+def _(c):
+    """What rules decide stays as it is in the whole cascade; the model decides all the rest."""
+    log = _log(c)
+    found = gm.fit(log).scan(log.select("log_id", "sql"))
+    ruled = ~(F.col("layer").isNull() | (F.col("layer") == "ml"))
+    return found.select("log_id", F.when(ruled, F.col("allowed")).alias("allowed"), F.when(ruled, F.col("layer")).alias("layer"))
+
+
+@query(
+    "o95_score_range",
+    "SELECT count(*) AS statements, true AS in_range, CAST(20 AS BIGINT) AS features FROM d_sql_log",
+)
+def _(c):
+    log = _log(c)
+    model = gm.fit(log)
+    scored = model.score(log).agg(
+        F.count("*").alias("statements"), F.bool_and(F.col("score").between(0, 1)).alias("in_range")
+    )
+    return scored.join(gm.top_features(log, model).agg(F.count("*").alias("features")))
+
+
+@query("o93_holdout_range", "SELECT count(*) > 0 AS in_range FROM d_sql_log")
+def _(c):
+    found = gm.holdout_metrics(_log(c), "log_id")
+    names = ("precision", "recall", "f1", "roc_auc")
+    return found.select(F.forall(F.array(*names), lambda x: x.between(0.9, 1.0)).alias("in_range"))
+
+
+@query("o93_toxic_documents")
+def _(c):
+    """The classifier on real texts: labelled documents, held-out metrics."""
+    labels = c.raw("labels").where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
+    docs = c.raw("documents").select("doc_id", F.col("text").alias("sql")).join(labels, "doc_id")
+    return gm.holdout_metrics(docs, "doc_id", vocabulary=TEXT_VOCABULARY, max_iter=50)
 
 
 # Metrics on a fixed score ------------------------------------------------------------------
