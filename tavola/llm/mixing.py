@@ -17,7 +17,7 @@ closely, so no leaf is ever sorted as a whole.
 
 Defined results: null and empty level values are one node; null text has 0 tokens; rows
 with equal doc_id (null counts as one id) are taken together; weights not listed are 1, weight
-0 gives nothing. Other columns stay as they are. An empty table gives an empty result.
+0 gives nothing. Columns named like the results are replaced, others stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def prefix_ends(slim: DataFrame, leaves: DataFrame, levels: list[str], seed: int
         )
         state = cut(
             state.drop("_rest", "_at")
-            .join(last, levels)
+            .join(last, levels, "left")
             .select(*levels, "_epochs", F.coalesce("_last._rest", F.lit(0)).alias("_rest"), F.coalesce("_last._part", F.lit("g")).alias("_at"))
         )
     rows = slim.join(state, levels).withColumn("_key", epoch_order(seed, F.col("_epochs"), F.col("_id")))
@@ -150,7 +150,8 @@ def mix(
     rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs"))))
     inside = (F.col("mix_epoch") < F.col("_epochs")) | (epoch_order(seed, F.col("mix_epoch"), F.col(doc_id)) <= F.col("_end"))
     full = F.col("mix_epoch") < max_epochs
-    return rows.where(full & inside).select(*docs.columns, *[n for n in names if n not in docs.columns], "mix_epoch", "mix_tokens")
+    made = [*names, "mix_epoch", "mix_tokens"]
+    return rows.where(full & inside).select(*[c for c in docs.columns if c not in made], *made)
 
 
 def mix_sql(levels: dict[str, str], weights: list[dict[str, int]], share: tuple[int, int], max_epochs: int, seed: int) -> str:

@@ -16,10 +16,9 @@ def budgets(spark, leaves, weights, share=(1, 1), epochs=1):
 
 def test_shortage_goes_to_siblings_first(spark):
     leaves = [("a", "x", 10), ("a", "y", 500), ("b", "x", 500), ("b", "y", 500)]
-    # 755 for two domains; x lacks of a, so y of a takes what x leaves; b is untouched
-    assert budgets(spark, leaves, [{}, {}], (1, 2)) == {("a", "x"): 10, ("a", "y"): 367, ("b", "x"): 189, ("b", "y"): 189} or sum(
-        budgets(spark, leaves, [{}, {}], (1, 2)).values()
-    ) == 755
+    # 755: x of a lacks most of its share, y of a takes what x leaves, b is untouched
+    got = budgets(spark, leaves, [{}, {}], (1, 2))
+    assert got["a", "x"] == 10 and got["a", "y"] in (367, 368) and got["b", "x"] + got["b", "y"] == 755 - 10 - got["a", "y"]
     short = [("a", "x", 10), ("a", "y", 20), ("b", "x", 500), ("b", "y", 500)]
     got = budgets(spark, short, [{}, {}], (1, 2))
     assert got["a", "x"] == 10 and got["a", "y"] == 20 and got["b", "x"] + got["b", "y"] == 515 - 30
@@ -53,4 +52,5 @@ def test_mix_equals_sql(spark, tmp_path):
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark).limit(0), {"s": F.col("source")}, [{}]).count() == 0
     clash = docs(spark).withColumn("mix_tokens", F.lit("old"))
-    assert mixing.mix(clash.drop("mix_tokens"), {"s": F.col("source")}, [{}]).count() == docs(spark).count()
+    made = mixing.mix(clash, {"s": F.col("source")}, [{}], share=(9, 1), max_epochs=1)
+    assert made.count() == clash.count() and made.columns.count("mix_tokens") == 1 and made.schema["mix_tokens"].dataType.typeName() == "long"

@@ -31,8 +31,8 @@ def pages(spark):
     made = []
     for i in range(40):
         menu = "".join(f"<li>link {k}</li>" for k in range(5))
-        made.append((i, f"http://a.example/{i}", f"<body><div class='x1'><ul>{menu}</ul></div><div class='x2'><p>story {i} begins</p><p>and {i * 7} ends</p></div><div class='x3'>Same line</div></body>"))
-    made += [(100, "http://a.example/z", None), (101, None, "<p>alone</p>"), (102, "http://b.example/", "<body><div class='x3'>Same line</div></body>")]
+        made.append((i, f"http://a.example/{i}", f"<body><div class='alpha'><ul>{menu}</ul></div><div class='beta'><p>story {i} begins</p><p>and {i * 7} ends</p></div><div class='gamma'>Same line</div></body>"))
+    made += [(100, "http://a.example/z", None), (101, None, "<p>alone</p>"), (102, "http://b.example/", "<body><div class='gamma'>Same line</div></body>")]
     return spark.createDataFrame(made, "page_id long, url string, html string")
 
 
