@@ -31,30 +31,37 @@ ITEM_INSERT = {"admin": "all", "manager": "own", "waiter": "own"}
 VERBS = ("SELECT", "INSERT", "UPDATE", "DELETE")
 GRANTS = {
     "analyst": {
-        "SELECT": "cities restaurants restaurant_tables employees employee_assignments dishes "
-        "dish_ingredients dish_price_history orders order_items ingredients ingredient_batches "
-        "inventory_movements purchase_requests suppliers reservations feedbacks audit_logs"
+        "SELECT": (
+            "cities", "restaurants", "restaurant_tables", "employees",
+            "employee_assignments", "dishes", "dish_ingredients", "dish_price_history",
+            "orders", "order_items", "ingredients", "ingredient_batches",
+            "inventory_movements", "purchase_requests", "suppliers", "reservations",
+            "feedbacks", "audit_logs",
+        ),
     },
     "manager": {
-        verb: "orders order_items reservations purchase_requests ingredient_batches inventory_movements"
+        verb: (
+            "orders", "order_items", "reservations", "purchase_requests",
+            "ingredient_batches", "inventory_movements",
+        )
         for verb in ("SELECT", "INSERT", "UPDATE")
     },
     "cook": {
-        "SELECT": "orders order_items dishes dish_ingredients ingredients ingredient_batches",
-        "INSERT": "purchase_requests",
+        "SELECT": ("orders", "order_items", "dishes", "dish_ingredients", "ingredients", "ingredient_batches"),
+        "INSERT": ("purchase_requests",),
     },
     "waiter": {
-        "SELECT": "dishes orders order_items",
-        "INSERT": "orders order_items",
-        "UPDATE": "orders",
+        "SELECT": ("dishes", "orders", "order_items"),
+        "INSERT": ("orders", "order_items"),
+        "UPDATE": ("orders",),
     },
 }
 MODULES = {
-    "admin": "admin tables query inventory orders menu reports purchase",
-    "analyst": "tables query menu reports",
-    "manager": "tables inventory orders menu reports purchase",
-    "cook": "inventory menu purchase",
-    "waiter": "orders menu",
+    "admin": ("admin", "tables", "query", "inventory", "orders", "menu", "reports", "purchase"),
+    "analyst": ("tables", "query", "menu", "reports"),
+    "manager": ("tables", "inventory", "orders", "menu", "reports", "purchase"),
+    "cook": ("inventory", "menu", "purchase"),
+    "waiter": ("orders", "menu"),
 }
 
 
@@ -135,7 +142,7 @@ def grant_rows(tables: list[str]) -> list[tuple[str, str, str, str | None]]:
     rows = [("admin", verb, table, None) for verb in VERBS for table in tables]
     for role, verbs in GRANTS.items():
         for verb, names in verbs.items():
-            for table in names.split():
+            for table in names:
                 only = "status" if (role, verb, table) == ("waiter", "UPDATE", "orders") else None
                 rows.append((role, verb, table, only))
     return rows
@@ -148,7 +155,7 @@ def grant_matrix(spark: SparkSession, tables: list[str]) -> DataFrame:
 
 
 def module_matrix(spark: SparkSession) -> DataFrame:
-    rows = [(role, module) for role, names in MODULES.items() for module in names.split()]
+    rows = [(role, module) for role, names in MODULES.items() for module in names]
     return spark.createDataFrame(rows, "role string, module string")
 
 

@@ -6,12 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tavola.functions.formatting import as_text, format_datetimes
+from tavola.functions.formatting import format_datetimes
 from tavola.functions.predicates import SOLD, equals, only, where_all
 from tavola.operators import listing, reports as rep
 from tavola.plans.registry import query
 from tavola.sources import corpus
-from tavola.sources.tables import row_counts
+from tavola.sources.tables import catalog_of, row_counts
 
 AS_OF = dt.date(2001, 8, 1)
 
@@ -47,12 +47,32 @@ def _(c):
 
 
 @query(
-    "o04_export_rows",
-    """SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(role_id AS VARCHAR) AS role_id,
-              COALESCE(CAST(restaurant_id AS VARCHAR), '') AS restaurant_id FROM d_user_roles""",
+    "o04_export_tables",
+    """SELECT 'ingredients' AS table_name, count(*) AS rows, CAST(SUM(length(CAST(id AS VARCHAR)) + length(name)) AS BIGINT) AS chars FROM d_ingredients
+       UNION ALL
+       SELECT 'restaurants', count(*), CAST(SUM(length(CAST(id AS VARCHAR)) + length(CAST(city_id AS VARCHAR)) + length(name)) AS BIGINT) FROM d_restaurants""",
 )
 def _(c):
-    return as_text(c.user_roles)
+    tables = {
+        "ingredients": c.ingredients, "restaurants": c.restaurants,
+        "app_user_roles": c.user_roles, "purchase_requests": c.purchase_requests,
+    }
+    made = None
+    for name, df in corpus.exported(tables).items():
+        length = F.length(F.concat(*df.columns))
+        row = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.sum(length).alias("chars"))
+        made = row if made is None else made.unionByName(row)
+    return made
+
+
+@query(
+    "o06_catalog",
+    """SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS position FROM information_schema.columns
+       WHERE table_name IN ('region', 'nation', 'supplier', 'lineitem')""",
+)
+def _(c):
+    named = {n: c.raw(n) for n in ("region", "nation", "supplier", "lineitem")}
+    return catalog_of(c.spark, named).select("table_name", "column_name", "position")
 
 
 TOP_COMPLETED = """

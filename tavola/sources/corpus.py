@@ -36,6 +36,11 @@ def write_report(report: DataFrame, path: str) -> None:
     report_headers(report).write.mode("overwrite").option("header", True).csv(path)
 
 
+def exported(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables outside the deny-list, as text columns."""
+    return {name: as_text(tables[name]) for name in sorted(set(tables) - set(SENSITIVE))}
+
+
 def export_tables(
     tables: dict[str, DataFrame], path: str, fmt: str = "csv", limit: int | None = None
 ) -> list[str]:
@@ -43,11 +48,11 @@ def export_tables(
 
     `limit` is for a sheet-sized preview; whole tables are written without it.
     """
-    names = sorted(set(tables) - set(SENSITIVE))
-    for name in names:
-        df = tables[name] if limit is None else browse(tables[name], limit=limit)
-        as_text(df).write.mode("overwrite").option("header", True).format(fmt).save(f"{path}/{name}")
-    return names
+    kept = tables if limit is None else {n: browse(df, limit=limit) for n, df in tables.items()}
+    found = exported(kept)
+    for name, df in found.items():
+        df.write.mode("overwrite").option("header", True).format(fmt).save(f"{path}/{name}")
+    return list(found)
 
 
 # Statement files ---------------------------------------------------------------------------
@@ -58,8 +63,9 @@ _PART = (
     r"|'(?:[^']++|(?<=\\)')*+(?:'|\z)"
     r"|\"(?:[^\"]++|(?<=\\)\")*+(?:\"|\z))*+(?:;|\z)"
 )
-# A numbered line and what follows it up to the next numbered line.
-_SECTION = r"(?ms)^[ \t]*\d+[.)]\s.*?(?=^[ \t]*\d+[.)]\s|\z)"
+# A numbered line and what follows it up to the next one; what stands before the first is a section too.
+_NUMBER = r"[ \t]*\d+[.)]\s"
+_SECTION = rf"(?ms)(?:^{_NUMBER}|\A(?!{_NUMBER})).*?(?=^{_NUMBER}|\z)"
 
 
 def _statement(lines: Column) -> Column:
@@ -84,18 +90,23 @@ def split_statements(df: DataFrame, column: str = "sql") -> DataFrame:
 
 
 def statements_of(df: DataFrame, column: str = "value") -> DataFrame:
-    """(section, description, part, sql) of texts holding numbered questions and statements."""
+    """(section, description, part, sql) of texts holding numbered questions and statements.
+
+    Statements before the first numbered line are section 0, with an empty description.
+    """
     section = F.regexp_extract_all(column, F.lit(_SECTION), F.lit(0))
     others = [c for c in df.columns if c != column]
-    rows = df.select(*others, F.posexplode(section).alias("section", "body"))
+    titled = F.element_at("sections", 1).rlike(rf"\A{_NUMBER}")
+    rows = df.select(*others, section.alias("sections")).select(*others, titled.cast("int").alias("first"), F.posexplode("sections").alias("section", "body"))
     trimmed = F.transform(F.split("body", r"\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     lines = F.filter(trimmed, lambda x: x != "")
-    rows = rows.select(*others, (F.col("section") + 1).alias("section"), lines.alias("lines"))
-    rows = rows.where(F.size("lines") > 1).select(
+    rows = rows.select(*others, (F.col("section") + F.col("first")).alias("section"), lines.alias("lines")).where(F.size("lines") > 0)
+    head = F.regexp_replace(F.element_at("lines", 1), r"^\d+[.)]\s*", "")
+    rows = rows.select(
         *others,
         "section",
-        F.regexp_replace(F.element_at("lines", 1), r"^\d+[.)]\s*", "").alias("description"),
-        F.slice("lines", 2, F.size("lines") - 1).alias("rest"),
+        F.when(F.col("section") > 0, head).otherwise("").alias("description"),
+        F.when(F.col("section") > 0, F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines")).alias("rest"),
     )
     rows = rows.withColumn("sql", _statement(F.col("rest"))).drop("rest")
     return split_statements(rows.where(F.col("sql").isNotNull()))

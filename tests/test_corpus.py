@@ -67,3 +67,9 @@ def test_tables_and_catalog(spark, data, tmp_path):
 def test_schemas_parse(spark):
     assert len(tables.SCHEMAS) == 21
     assert all(tables.schema_of(t).fields for t in tables.SCHEMAS)
+
+
+def test_statements_without_a_number(spark):
+    df = spark.createDataFrame([("SELECT 0;\n1. First\nSELECT 1;\n2) Second\nSELECT 2",), ("SELECT 9",), ("",)], "value string")
+    got = rows(corpus.statements_of(df), "section", "description", "sql")
+    assert got == [(0, "", "SELECT 0;"), (0, "", "SELECT 9"), (1, "First", "SELECT 1;"), (2, "Second", "SELECT 2")]
