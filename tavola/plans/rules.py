@@ -299,7 +299,7 @@ def _(c):
 @query(
     "o122_module_report",
     f"""WITH v AS ({VIEWERS}), m(role, module) AS (VALUES {', '.join(
-        f"('{r}', '{m}')" for r, names in access.MODULES.items() for m in names.split())})
+        f"('{r}', '{m}')" for r, names in access.MODULES.items() for m in names)})
         SELECT m.module, count(*) AS accounts FROM v JOIN m ON m.role = v.role GROUP BY 1""",
 )
 def _(c):
