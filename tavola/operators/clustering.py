@@ -8,6 +8,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tavola.functions.predicates import only
+from tavola.session import cut
 
 # Number of clusters, seed, names, rows labelled per cluster, name length.
 CLUSTERS = 3
@@ -22,8 +23,9 @@ def cluster(df: DataFrame, columns: list[str], k: int = CLUSTERS, seed: int = SE
 
     With fewer rows than clusters the result is empty.
     """
-    typed = df.withColumns({f"_x_{c}": F.col(c).cast("double") for c in columns})
-    if df.limit(k).count() < k:
+    # The count, the scaler, the clusters and the output all read it.
+    typed = cut(df.withColumns({f"_x_{c}": F.col(c).cast("double") for c in columns}))
+    if typed.limit(k).count() < k:
         return df.withColumn("cluster", F.lit(None).cast("int")).where(F.lit(False))
     pipeline = Pipeline(
         stages=[
@@ -73,7 +75,13 @@ def top_of_cluster(df: DataFrame, n: int = LABELLED, revenue: str = "total_reven
     )
 
 
-def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
-    """One 0/1 column `<column>_<value>` per value, in place of `column`."""
+def one_hot(df: DataFrame, column: str, values: list[str] | None = None) -> DataFrame:
+    """One 0/1 column `<column>_<value>` per value, in place of `column`.
+
+    Without `values`, every value of the table gets a column; the result's columns, and so the values,
+    are known to the driver.
+    """
+    if values is None:
+        values = sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
     flags = {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values}
     return df.withColumns(flags).drop(column)

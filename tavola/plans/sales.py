@@ -8,6 +8,7 @@ from tavola.operators import clustering, forecast, reports as rep
 from tavola.plans.registry import query
 from tavola.plans.reports import CATEGORY_SALES, DAILY
 
+# The categories of the given tables, for the SQL; the operator reads them from the data.
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 SALES = """SELECT d.id AS dish_id, d.name AS dish_name, d.prep_time_minutes % 3 AS cluster, SUM(i.qty) AS total_qty,
@@ -23,14 +24,14 @@ def _grouped(c):
 
 @query(
     "o61_top_of_cluster",
-    f"""SELECT CAST(cluster AS BIGINT) AS cluster, rank, dish_id, substr(dish_name, 1, 15) AS short_name,
+    f"""SELECT CAST(cluster AS BIGINT) AS cluster, rank, dish_id, dish_name, substr(dish_name, 1, 15) AS short_name,
                CAST(total_revenue AS DOUBLE) AS total_revenue
         FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY total_revenue DESC, dish_id) AS rank
               FROM ({SALES})) WHERE rank <= 3""",
 )
 def _(c):
     top = clustering.top_of_cluster(_grouped(c))
-    return top.select("cluster", "rank", "dish_id", "short_name", "total_revenue")
+    return top.select("cluster", "rank", "dish_id", "dish_name", "short_name", "total_revenue")
 
 
 @query(
@@ -54,7 +55,7 @@ def _(c):
 )
 def _(c):
     sales = rep.category_sales(c.items, c.orders_by_key, c.dishes).select("name", "category", "total_qty")
-    return clustering.one_hot(sales, "category", CATEGORIES)
+    return clustering.one_hot(sales, "category")
 
 
 @query("o73a_dish_clusters")

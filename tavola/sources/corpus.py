@@ -20,10 +20,9 @@ def clean_corpus(df: DataFrame) -> DataFrame:
     return named.na.drop().dropDuplicates()
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    raw = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    )
+def read_corpus(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A labelled corpus from CSV. `multi_line` allows line breaks in quotes; a file is then one task."""
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return clean_corpus(raw).withColumn("label", F.col("label").cast("int"))
 
 
