@@ -27,8 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tavola.llm.projections import is_usable
 from tavola.session import cut
@@ -37,13 +39,13 @@ NEIGHBOURS = 20
 REVERSE = 20
 TREES = 4
 LEAF = 128
-ROUNDS = 4
+ROUNDS = 3
 #: Share of changed list entries below which the rounds end.
 SETTLED = 0.02
 #: Offers that one meeting makes to a node.
 OFFERS = 4
-BEAM = 240
-EXPAND = 120
+BEAM = 200
+EXPAND = 200
 RERANK = 3
 #: Rows of a sorted run that one task should hold.
 ROWS_PER_TASK = 4096
@@ -179,34 +181,41 @@ def build(nodes: DataFrame, length: int, count: int, seed: int) -> DataFrame:
     return edges.drop("fresh")
 
 
+@F.pandas_udf(T.FloatType())
+def nearness(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for q, s, qq, qs in batches:
+        yield pd.Series(np.einsum("ij,ij->i", unpacked(q, s), unpacked(qq, qs)) if len(q) else [], dtype="float32")
+
+
 def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query, node, sim) of the beam of each query, by greedy rounds from its own node."""
+    """(query, node, sim) of the beam of each query, by greedy rounds from its own node.
+
+    The graph is cached by node for the rounds. A round sends the nodes to expand to it, scores
+    their neighbours there, and brings those better than the beam's last back to the query.
+    """
     back = top(edges.select(F.col("b").alias("u"), F.col("a").alias("m"), "sim"), "u", "m", REVERSE)
     links = edges.select(F.col("a").alias("u"), F.col("b").alias("m")).union(back.select("u", "m")).distinct()
-    graph = cut(links.join(nodes.withColumnRenamed("node", "m"), "m"))
+    graph = links.join(nodes.withColumnRenamed("node", "m"), "m").repartition("u").persist(StorageLevel.MEMORY_AND_DISK)
     asked = queries.join(nodes, "node").select("query", F.col("q").alias("qq"), F.col("s").alias("qs"))
-    beam = queries.select("query", "node", F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("seen"))
-    while True:
-        beam = cut(beam)
-        order = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-        front = beam.where("not seen").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= EXPAND)
-        if front.isEmpty():
-            return beam.where("sim < double('inf')").select("query", "node", "sim")
-        floors = beam.groupBy("query").agg(F.when(F.count("*") >= BEAM, F.min("sim")).otherwise(float("-inf")).alias("floor"))
-        rows = front.select("query", F.col("node").alias("u")).join(graph, "u").select("query", "m", "q", "s").dropDuplicates(["query", "m"])
-        rows = rows.join(asked, "query").join(floors, "query")
-
-        @F.pandas_udf("float")
-        def nearness(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for q, s, qq, qs in batches:
-                yield pd.Series(np.einsum("ij,ij->i", unpacked(q, s), unpacked(qq, qs)))
-
-        near = rows.withColumn("sim", nearness.asNondeterministic()("q", "s", "qq", "qs")).where("sim > floor")
+    beam = cut(queries.select("query", "node", F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("seen")))
+    whole = Window.partitionBy("query")
+    order = whole.orderBy("seen", F.desc("sim"), "node")
+    score = nearness.asNondeterministic()
+    while not beam.where("not seen").isEmpty():
+        marked = beam.withColumns(
+            {
+                "now": ~F.col("seen") & (F.row_number().over(order) <= EXPAND),
+                "floor": F.when(F.count("*").over(whole) >= BEAM, F.min("sim").over(whole)).otherwise(float("-inf")),
+            }
+        )
+        front = marked.where("now").select("query", F.col("node").alias("u"), "floor").join(asked, "query")
+        near = front.join(graph, "u").withColumn("sim", score("q", "s", "qq", "qs")).where("sim > floor")
         near = near.select("query", F.col("m").alias("node"), "sim", F.lit(False).alias("seen"))
-        looked = beam.join(front.select("query", "node", F.lit(True).alias("now")), ["query", "node"], "left")
-        looked = looked.select("query", "node", "sim", (F.col("seen") | F.coalesce("now", F.lit(False))).alias("seen"))
-        merged = looked.union(near).groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("seen").alias("seen"))
-        beam = top(merged, "query", "node", BEAM)
+        looked = marked.select("query", "node", "sim", (F.col("seen") | F.col("now")).alias("seen"))
+        merged = looked.union(near).repartition("query").groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("seen").alias("seen"))
+        beam = cut(top(merged, "query", "node", BEAM))
+    graph.unpersist()
+    return beam.where("sim < double('inf')").select("query", "node", "sim")
 
 
 def nearest(
