@@ -5,16 +5,19 @@
    Documents with equal word sequences are one node from here on.
 2. `HASHES` minimum hashes per node are cut into bands of `BAND` rows. Nodes that share a
    band fall into a bucket. At similarity 0.75, a pair shares none with probability 5e-6.
-3. Every member of a bucket is a candidate with the bucket's smallest node. Signatures are
+3. Every member of a bucket is a candidate with the bucket's center, the member whose
+   buckets are the largest together, so the one most like the others. Signatures are
    compared in batches; a candidate is dropped as soon as the posterior probability (uniform prior) that
    its similarity reaches the threshold falls below `MISS`. The rest are verified on the
    whole sets. Links give components.
-4. Buckets whose members ended up in several components are looked at again: each member outside the bucket's
-   largest component is a candidate with every member of another component. In
-   buckets over `SPLIT` members, only those that share one of their rarest shingles are
-   (two sets with similarity 0.75 must share one of the rarest quarter), so a passage
-   that many documents have does not pair them. So no link is lost to a group's size and
-   no group is paired with itself.
+4. Buckets whose members ended up in several components are looked at again: each member
+   outside the bucket's largest component meets every member of another component. They
+   meet in blocks of signatures, which return the pairs that survive the batches and no
+   others. Of those, the most similar ones of a member and a component are verified first, and the rest
+   only where that did not join the two. In buckets over `SPLIT` members, only nodes that
+   share one of their rarest shingles meet (two sets with similarity 0.75 must share one of the
+   rarest quarter), so a passage that very many documents have does not bring them together.
+   No link is lost to a group's size, and no group is paired with itself.
 
 Defined results: null texts and texts without words have an empty set and link with
 nothing; rows with equal doc_id are one node; rows with null doc_id link with
@@ -44,7 +47,13 @@ HASHES, BAND = 128, 4
 NUMERATOR, DENOMINATOR = 75, 100
 BATCH = 32
 MISS = 1e-6
-SPLIT = 64
+SPLIT = 4096
+#: Nodes of a bucket that are compared as one block.
+BLOCK = 64
+#: Pairs of a member and a component that are verified first.
+FIRST = 4
+#: So many ids (8 MB) are sent to the texts; more are joined with a shuffle.
+SENT_IDS = 1_000_000
 #: Distinct words whose hashes a Python worker keeps.
 WORDS_KEPT = 300_000
 
@@ -174,23 +183,69 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, members) of the documents named; repeated rows give one."""
+    ids = cut(ids)
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
     rows = docs.join(ids, "id", "left_semi").withColumn("_s", shingle_set("text"))
     return rows.groupBy("id", F.col("_s.key").alias("key")).agg(F.first("_s.members").alias("members")).drop("key")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, id, component) of one key and different components.
-
-    a runs over the members outside the largest component of the key, so a key that one
-    component fills gives as many pairs as it has other members.
-    """
+@F.pandas_udf(T.ArrayType(T.StructType().add("a", "long").add("b", "long").add("ca", "long").add("matches", "integer")))
+def meeting(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """Surviving pairs of two blocks: b from the first one's members outside the largest component, a from the second."""
+    least = least_matches()
+    for largest, ids, sizes, parts, prints, other_ids, other_sizes, other_parts, other_prints in batches:
+        found = []
+        for row in zip(largest, ids, sizes, parts, prints, other_ids, other_sizes, other_parts, other_prints):
+            most, ib, nb, cb, pb, ia, na, ca, pa = row
+            nb, na, cb, ca = (np.asarray(v) for v in (nb, na, cb, ca))
+            x = np.frombuffer(b"".join(pb), "<u4").reshape(-1, HASHES)
+            y = np.frombuffer(b"".join(pa), "<u4").reshape(-1, HASHES)
+            near = np.minimum(nb[:, None], na[None, :]) * DENOMINATOR >= np.maximum(nb[:, None], na[None, :]) * NUMERATOR
+            u, v = np.nonzero((cb != most)[:, None] & (cb[:, None] != ca[None, :]) & near)
+            matches = np.zeros(len(u), np.int32)
+            for i, m in enumerate(least):
+                cols = slice(i * BATCH, (i + 1) * BATCH)
+                matches += (x[u, cols] == y[v, cols]).sum(1, dtype=np.int32)
+                alive = matches >= m
+                u, v, matches = u[alive], v[alive], matches[alive]
+            found.append([{"a": int(ia[j]), "b": int(ib[i]), "ca": int(ca[j]), "matches": int(k)} for i, j, k in zip(u, v, matches)])
+        yield pd.Series(found)
+
+
+def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Surviving pairs (a, b, ca, matches) of members (key, id, component) of one key and different
+    components; b runs over the members outside the key's largest component."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
-    mixed = members.join(largest.where("parts > 1"), "key")
-    left = mixed.where("component != largest").select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    right = mixed.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    pairs = left.join(right, "key").where("ca != cb")
-    return pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
+    largest = sizes.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("size")
+    )
+    mixed = members.join(largest.where("parts > 1"), "key").join(nodes.select("id", F.col("n").alias("set_size"), "signature"), "id")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    packed = mixed.groupBy("key", "largest", block).agg(
+        F.sort_array(F.collect_list(F.struct("id", "set_size", "component", "signature"))).alias("m"),
+        F.bool_or(F.col("component") != F.col("largest")).alias("outside"),
+    )
+    packed = cut(packed)
+    fields = ("id", "set_size", "component", "signature")
+    left = packed.where("outside").select("key", "largest", *[F.col(f"m.{f}").alias(f"b_{f}") for f in fields])
+    right = packed.select("key", *[F.col(f"m.{f}").alias(f"a_{f}") for f in fields])
+    met = left.join(right, "key").select(
+        F.explode(meeting.asNondeterministic()("largest", *[f"b_{f}" for f in fields], *[f"a_{f}" for f in fields])).alias("p")
+    )
+    return met.groupBy("p.a", "p.b", "p.ca").agg(F.max("p.matches").alias("matches"))
+
+
+def merged(links: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of every node after further links (a, b)."""
+    named = nodes.select("id").distinct().join(label, F.col("id") == F.col("node"), "left").select(
+        "id", F.coalesce("component", "id").alias("c")
+    )
+    ends = links.join(named.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(
+        named.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b"
+    )
+    whole = components(ends, "ca", "cb").select(F.col("node").alias("c"), F.col("component").alias("whole"))
+    return cut(named.join(whole, "c", "left").select(F.col("id").alias("node"), F.coalesce("whole", "c").alias("component")))
 
 
 def rarest(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -222,9 +277,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 4 * BAND + 1, F.lit(4 * BAND))),
     )
     bands = nodes.where("n > 0").select("id", F.explode(keys).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(bands.join(buckets, "key"))
-    stars = shared.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    center = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", F.bitwise_not("id"))).alias("center"))
+    stars = shared.join(center, "key").where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     label = components(verified(stars, nodes, docs))
 
     members = shared.join(label, shared["id"] == label["node"], "left").select(
@@ -232,19 +289,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     split = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
     members = cut(members.join(split, "key"))
-    rest = across(members.where(F.col("size") <= SPLIT).select("key", "id", "component"))
+    rest = across(members.where(F.col("size") <= SPLIT).select("key", "id", "component"), nodes)
     crowded = members.where(F.col("size") > SPLIT)
     if not crowded.isEmpty():
-        rest = rest.union(across(cut(rarest(crowded, docs)))).distinct()
+        rest = rest.union(across(cut(rarest(crowded, docs)), nodes)).distinct()
     rest = cut(rest)
     if not rest.isEmpty():
-        late = verified(rest.join(stars, ["a", "b"], "left_anti"), nodes, docs)
-        named = nodes.select("id").distinct().join(label, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c"))
-        ends = late.join(named.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(
-            named.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b"
-        )
-        merged = components(ends, "ca", "cb").select(F.col("node").alias("c"), F.col("component").alias("whole"))
-        label = named.join(merged, "c", "left").select(F.col("id").alias("node"), F.coalesce("whole", "c").alias("component"))
+        likely = F.row_number().over(Window.partitionBy("b", "ca").orderBy(F.desc("matches"), "a")) <= FIRST
+        first = rest.withColumn("likely", likely).where("likely").select("a", "b")
+        label = merged(verified(first, nodes, docs), label, nodes)
+        ends = [label.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")) for c in "ab"]
+        apart = cut(rest.join(ends[0], "a").join(ends[1], "b").where("now_a != now_b").select("a", "b"))
+        if not apart.isEmpty():
+            label = merged(verified(apart, nodes, docs), label, nodes)
 
     group = nodes.join(label, nodes["id"] == label["node"], "left").select("key", F.coalesce("component", "id").alias("component"))
     found = prints.select("id", "key", "n").join(group, "key", "left")
