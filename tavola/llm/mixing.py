@@ -31,6 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits by which each step narrows the place where a prefix ends.
 DIGITS = 2
 STEPS = 2
+#: So many leaves (a few MB) are sent to the rows; more are joined with a shuffle.
+SENT_LEAVES = 20_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -95,7 +97,12 @@ def leaf_budgets(
     return leaves.join(found, levels).drop("_cap")
 
 
-def prefix_ends(slim: DataFrame, leaves: DataFrame, levels: list[str], seed: int) -> DataFrame:
+def sent(leaves: DataFrame, count: int) -> DataFrame:
+    """The leaves' side of a join with rows: a leaf may have very many rows, so they stay where they are."""
+    return F.broadcast(leaves) if count <= SENT_LEAVES else leaves
+
+
+def prefix_ends(slim: DataFrame, leaves: DataFrame, levels: list[str], seed: int, count: int) -> DataFrame:
     """Leaves with `_epochs` (whole ones) and `_end`, the last order value taken in the next epoch."""
     state = leaves.select(
         *levels,
@@ -103,7 +110,7 @@ def prefix_ends(slim: DataFrame, leaves: DataFrame, levels: list[str], seed: int
         F.expr("coalesce(_budget % nullif(_tokens, 0), 0)").alias("_rest"),
     ).withColumn("_at", F.lit(""))
     for step in range(STEPS):
-        rows = slim.join(state, levels).withColumn("_key", epoch_order(seed, F.col("_epochs"), F.col("_id")))
+        rows = slim.join(sent(state, count), levels).withColumn("_key", epoch_order(seed, F.col("_epochs"), F.col("_id")))
         inside = rows.where(F.col("_key").startswith(F.col("_at"))) if step else rows
         sums = inside.groupBy(*levels, "_rest", F.substring("_key", 1, DIGITS * (step + 1)).alias("_part")).agg(F.sum("_n").alias("_n"))
         order = Window.partitionBy(*levels).orderBy("_part")
@@ -117,7 +124,7 @@ def prefix_ends(slim: DataFrame, leaves: DataFrame, levels: list[str], seed: int
             .join(last, levels, "left")
             .select(*levels, "_epochs", F.coalesce("_last._rest", F.lit(0)).alias("_rest"), F.coalesce("_last._part", F.lit("g")).alias("_at"))
         )
-    rows = slim.join(state, levels).withColumn("_key", epoch_order(seed, F.col("_epochs"), F.col("_id")))
+    rows = slim.join(sent(state, count), levels).withColumn("_key", epoch_order(seed, F.col("_epochs"), F.col("_id")))
     ids = rows.where(F.col("_key").startswith(F.col("_at"))).groupBy(*levels, "_rest", "_key").agg(F.sum("_n").alias("_n"))
     ids = ids.withColumn("_sum", F.sum("_n").over(Window.partitionBy(*levels).orderBy("_key")))
     taken = ids.where(F.col("_sum") <= F.col("_rest")).groupBy(*levels).agg(F.max("_key").alias("_last"))
@@ -145,8 +152,9 @@ def mix(
     marks = {f"mix_{n}": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()}
     slim = cut(docs.select(*[c.alias(n) for n, c in marks.items()], F.col(doc_id).alias("_id"), word_count(text).alias("_n")))
     leaves = cut(slim.groupBy(*names).agg(F.sum("_n").alias("_tokens")))
-    ends = prefix_ends(slim, leaf_budgets(leaves, names, weights, share, max_epochs), names, seed)
-    rows = docs.withColumns(marks | {"mix_tokens": word_count(text)}).join(ends, names)
+    count = leaves.count()
+    ends = cut(prefix_ends(slim, leaf_budgets(leaves, names, weights, share, max_epochs), names, seed, count))
+    rows = docs.withColumns(marks | {"mix_tokens": word_count(text)}).join(sent(ends, count), names)
     rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs"))))
     inside = (F.col("mix_epoch") < F.col("_epochs")) | (epoch_order(seed, F.col("mix_epoch"), F.col(doc_id)) <= F.col("_end"))
     full = F.col("mix_epoch") < max_epochs
