@@ -12,12 +12,12 @@
    whole sets. Links give components.
 4. Buckets whose members ended up in several components are looked at again: each member
    outside the bucket's largest component meets every member of another component. They
-   meet in blocks of signatures, which return the pairs that survive the batches and no
-   others. Of those, the most similar ones of a member and a component are verified first, and the rest
-   only where that did not join the two. In buckets over `SPLIT` members, only nodes that
+   meet in blocks that carry signatures and sets. A pair is compared in the first band that it shares only;
+   survivors of the batches are verified there, the most similar ones of a member and a
+   component first, until one links the two. Only links leave a block. In buckets over `SPLIT` members, only nodes that
    share one of their rarest shingles meet (two sets with similarity 0.75 must share one of the
    rarest quarter), so a passage that very many documents have does not bring them together.
-   No link is lost to a group's size, and no group is paired with itself.
+   No link between components is lost to a group's size, and no group is paired with itself.
 
 Defined results: null texts and texts without words have an empty set and link with
 nothing; rows with equal doc_id are one node; rows with null doc_id link with
@@ -50,8 +50,6 @@ MISS = 1e-6
 SPLIT = 4096
 #: Nodes of a bucket that are compared as one block.
 BLOCK = 64
-#: Pairs of a member and a component that are verified first.
-FIRST = 4
 #: So many ids (8 MB) are sent to the texts; more are joined with a shuffle.
 SENT_IDS = 1_000_000
 #: Distinct words whose hashes a Python worker keeps.
@@ -190,14 +188,16 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.groupBy("id", F.col("_s.key").alias("key")).agg(F.first("_s.members").alias("members")).drop("key")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("a", "long").add("b", "long").add("ca", "long").add("matches", "integer")))
+@F.pandas_udf(T.ArrayType(T.StructType().add("a", "long").add("b", "long")))
 def meeting(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """Surviving pairs of two blocks: b from the first one's members outside the largest component, a from the second."""
+    """Links of two blocks: b from the first one's members outside the largest component, a from the second.
+
+    Of a member and a component, one link is enough. A band of -1 stands for a key that is no band.
+    """
     least = least_matches()
-    for largest, ids, sizes, parts, prints, other_ids, other_sizes, other_parts, other_prints in batches:
+    for columns in batches:
         found = []
-        for row in zip(largest, ids, sizes, parts, prints, other_ids, other_sizes, other_parts, other_prints):
-            most, ib, nb, cb, pb, ia, na, ca, pa = row
+        for most, band, ib, nb, cb, pb, sb, ia, na, ca, pa, sa in zip(*columns):
             nb, na, cb, ca = (np.asarray(v) for v in (nb, na, cb, ca))
             x = np.frombuffer(b"".join(pb), "<u4").reshape(-1, HASHES)
             y = np.frombuffer(b"".join(pa), "<u4").reshape(-1, HASHES)
@@ -209,31 +209,45 @@ def meeting(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
                 matches += (x[u, cols] == y[v, cols]).sum(1, dtype=np.int32)
                 alive = matches >= m
                 u, v, matches = u[alive], v[alive], matches[alive]
-            found.append([{"a": int(ia[j]), "b": int(ib[i]), "ca": int(ca[j]), "matches": int(k)} for i, j, k in zip(u, v, matches)])
+            if band >= 0 and len(u):
+                equal = (x[u] == y[v]).reshape(len(u), -1, BAND).all(2)
+                here = equal.argmax(1) == band
+                u, v, matches = u[here], v[here], matches[here]
+            done: set[tuple[int, int]] = set()
+            links = []
+            for k in np.argsort(-matches, kind="stable"):
+                i, j = int(u[k]), int(v[k])
+                if (i, ca[j]) in done:
+                    continue
+                one, two = np.frombuffer(sb[i], np.uint64), np.frombuffer(sa[j], np.uint64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if DENOMINATOR * both >= NUMERATOR * (len(one) + len(two) - both):
+                    done.add((i, ca[j]))
+                    links.append({"a": int(ia[j]), "b": int(ib[i])})
+            found.append(links)
         yield pd.Series(found)
 
 
-def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Surviving pairs (a, b, ca, matches) of members (key, id, component) of one key and different
-    components; b runs over the members outside the key's largest component."""
+def across(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of one key, for members (key, band, id, component)."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("size")
     )
-    mixed = members.join(largest.where("parts > 1"), "key").join(nodes.select("id", F.col("n").alias("set_size"), "signature"), "id")
+    mixed = cut(members.join(largest.where("parts > 1"), "key"))
+    sets = sets_of(docs, mixed.select("id").distinct())
+    mixed = mixed.join(nodes.select("id", F.col("n").alias("set_size"), "signature"), "id").join(sets, "id")
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block")
-    packed = mixed.groupBy("key", "largest", block).agg(
-        F.sort_array(F.collect_list(F.struct("id", "set_size", "component", "signature"))).alias("m"),
-        F.bool_or(F.col("component") != F.col("largest")).alias("outside"),
+    fields = ("id", "set_size", "component", "signature", "members")
+    packed = cut(
+        mixed.groupBy("key", "band", "largest", block).agg(
+            F.collect_list(F.struct(*fields)).alias("m"), F.bool_or(F.col("component") != F.col("largest")).alias("outside")
+        )
     )
-    packed = cut(packed)
-    fields = ("id", "set_size", "component", "signature")
-    left = packed.where("outside").select("key", "largest", *[F.col(f"m.{f}").alias(f"b_{f}") for f in fields])
+    left = packed.where("outside").select("key", "band", "largest", *[F.col(f"m.{f}").alias(f"b_{f}") for f in fields])
     right = packed.select("key", *[F.col(f"m.{f}").alias(f"a_{f}") for f in fields])
-    met = left.join(right, "key").select(
-        F.explode(meeting.asNondeterministic()("largest", *[f"b_{f}" for f in fields], *[f"a_{f}" for f in fields])).alias("p")
-    )
-    return met.groupBy("p.a", "p.b", "p.ca").agg(F.max("p.matches").alias("matches"))
+    links = meeting.asNondeterministic()("largest", "band", *[f"b_{f}" for f in fields], *[f"a_{f}" for f in fields])
+    return left.join(right, "key").select(F.explode(links).alias("p")).select("p.a", "p.b")
 
 
 def merged(links: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -261,7 +275,8 @@ def rarest(members: DataFrame, docs: DataFrame) -> DataFrame:
     n = F.floor(F.length("members") / 8)
     needed = sets.select("id", (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).alias("prefix"))
     prefix = ranked.join(needed, "id").where("at <= prefix").select("id", "key")
-    return prefix.join(members.select("id", "component").distinct(), "id").select("key", "id", "component")
+    known = members.select("id", "component").distinct()
+    return prefix.join(known, "id").select("key", F.lit(-1).alias("band"), "id", "component")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,7 +291,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 4 * BAND + 1, F.lit(4 * BAND))),
     )
-    bands = nodes.where("n > 0").select("id", F.explode(keys).alias("key"))
+    bands = nodes.where("n > 0").select("id", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(bands.join(buckets, "key"))
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
@@ -285,23 +300,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     label = components(verified(stars, nodes, docs))
 
     members = shared.join(label, shared["id"] == label["node"], "left").select(
-        "key", "id", "size", F.coalesce("component", "id").alias("component")
+        "key", "band", "id", "size", F.coalesce("component", "id").alias("component")
     )
     split = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
     members = cut(members.join(split, "key"))
-    rest = across(members.where(F.col("size") <= SPLIT).select("key", "id", "component"), nodes)
+    columns = ("key", "band", "id", "component")
+    rest = across(members.where(F.col("size") <= SPLIT).select(*columns), nodes, docs)
     crowded = members.where(F.col("size") > SPLIT)
     if not crowded.isEmpty():
-        rest = rest.union(across(cut(rarest(crowded, docs)), nodes)).distinct()
+        rest = rest.union(across(cut(rarest(crowded, docs)), nodes, docs))
     rest = cut(rest)
     if not rest.isEmpty():
-        likely = F.row_number().over(Window.partitionBy("b", "ca").orderBy(F.desc("matches"), "a")) <= FIRST
-        first = rest.withColumn("likely", likely).where("likely").select("a", "b")
-        label = merged(verified(first, nodes, docs), label, nodes)
-        ends = [label.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")) for c in "ab"]
-        apart = cut(rest.join(ends[0], "a").join(ends[1], "b").where("now_a != now_b").select("a", "b"))
-        if not apart.isEmpty():
-            label = merged(verified(apart, nodes, docs), label, nodes)
+        label = merged(rest, label, nodes)
 
     group = nodes.join(label, nodes["id"] == label["node"], "left").select("key", F.coalesce("component", "id").alias("component"))
     found = prints.select("id", "key", "n").join(group, "key", "left")
