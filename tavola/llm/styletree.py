@@ -6,8 +6,9 @@ presentation (the sequence of child elements) and the content (the text below).
 importance is the entropy of these votes over the pages that have the node, relative to the largest possible: 0 if
 all pages look alike there, 1 if every page differs. `CONTENT` is the weight of content against
 presentation. Nodes of hosts with few pages lean on the tree of all hosts together.
-Branches whose importance is below `LEAST` are removed from each page of the host; `article` and `main`
-never are, nor is a branch above them.
+Branches whose importance is below `LEAST` are removed from each page of the host. `article` and `main` are a
+prior: `LEAN` is added to the importance of branches inside them and taken from those beside them, in
+proportion to the pages that have text in one. A branch above them takes nothing out of them.
 
 Elements that are never main text by their kind (scripts, forms, menus, footers, asides) or by their
 class or id (adverts, notices, comments and so on) go first.
@@ -17,8 +18,8 @@ Character references are decoded, white space inside a block becomes one space,
 blocks are joined by an empty line.
 
 Defined results: null and empty html give an empty text; a null url belongs to the host
-''; if only unimportant branches hold text, they are kept (a site of equal pages has
-nothing to tell them apart by); broken markup never fails, an element that is not closed
+''; if only unimportant branches hold text, they are kept, those in `article` or `main` alone
+if there are any (a site of equal pages has nothing to tell them apart by); a branch without text on a page has no vote there; broken markup never fails, an element that is not closed
 ends with its parent; repeated rows vote repeatedly. A host's list of unimportant branches holds those on at least
 `SHARE` of its pages, so its length is bounded by the nodes of a page, not by their number. Columns named like
 the results are replaced; all others stay.
@@ -40,6 +41,8 @@ from pyspark.sql import functions as F
 CONTENT = 0.9
 #: Importance below which a branch goes.
 LEAST = 0.3
+#: What being inside an article adds to importance, and being beside one takes.
+LEAN = 0.1
 #: Pages of the tree of all hosts that count beside a host's own.
 PRIOR_PAGES = 10
 #: Fewest pages, and least share of a host's pages, on which a branch can be judged.
@@ -183,37 +186,39 @@ def path_hash(path: str) -> int:
     return found
 
 
-def votes(page: Page) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) of every node that may be judged; equal paths of a page are one node."""
-    style: dict[str, list[str]] = {}
+def votes(page: Page) -> list[tuple[int, int, int, int]]:
+    """(path, presentation, content, lean) of every node that may be judged; equal paths of a page are one node.
+
+    `lean` is 1 inside an article, -1 beside one that has text and 0 on other pages.
+    """
     content: dict[str, xxhash.xxh3_64] = {}
-    above = {p for n in page.nodes if n.tag in KEPT for p in _prefixes(n.path)}
+    beside = 0
+    for chain, text in page.blocks:
+        if chain[-1].inside_kept and not chain[-1].noise:
+            beside = -1
+        for path in {node.path for node in chain}:
+            content.setdefault(path, xxhash.xxh3_64()).update(text + "\n")
+    style: dict[str, list[str]] = {}
+    lean: dict[str, int] = {}
     for node in page.nodes:
-        if node.noise or node.inside_kept or node.path in above or node.tag in ("html", "body"):
+        if node.noise or node.tag in ("html", "body") or node.path not in content:
             continue
         run = style.setdefault(node.path, [])
         run += [c for c, before in zip(node.children, [None, *node.children]) if c != before]
-        content.setdefault(node.path, xxhash.xxh3_64())
-    for chain, text in page.blocks:
-        for path in {node.path for node in chain}:
-            if path in content:
-                content[path].update(text + "\n")
-    return [(path_hash(p), xxhash.xxh3_64_intdigest("\n".join(s)) - 2**63, content[p].intdigest() - 2**63) for p, s in style.items()]
-
-
-def _prefixes(path: str) -> list[str]:
-    parts = path.split(">")
-    return [">".join(parts[:i]) for i in range(2, len(parts))]
+        lean[node.path] = 1 if node.inside_kept else beside
+    return [
+        (path_hash(p), xxhash.xxh3_64_intdigest("\n".join(s)) - 2**63, content[p].intdigest() - 2**63, lean[p]) for p, s in style.items()
+    ]
 
 
 def main_text(page: Page, unimportant: frozenset[int]) -> str:
-    """Text of the blocks that are left, the article's only where there is one."""
+    """Text of the blocks that are left; a block in an article is judged by the branches from the article on."""
     left = [(chain, text) for chain, text in page.blocks if not chain[-1].noise]
-    if any(chain[-1].inside_kept for chain, _ in left):
-        left = [(chain, text) for chain, text in left if chain[-1].inside_kept]
-    elif unimportant:
-        good = [(c, t) for c, t in left if not any(path_hash(n.path) in unimportant for n in c)]
-        left = good or left
+    if unimportant:
+        good = [
+            (c, t) for c, t in left if not any(path_hash(n.path) in unimportant for n in c if n.inside_kept or not c[-1].inside_kept)
+        ]
+        left = good or [(c, t) for c, t in left if c[-1].inside_kept] or left
     return "\n\n".join(text for _, text in left)
 
 
@@ -224,35 +229,35 @@ def host_of(url: Column) -> Column:
 
 def _entropy(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Entropy of `value` within `by`, relative to the logarithm of the number of votes."""
-    counts = rows.groupBy(*by, value).agg(F.sum("n").alias("n"))
-    sums = counts.groupBy(*by).agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    counts = rows.groupBy(*by, value).agg(F.sum("n").alias("n"), F.sum("lean").alias("lean"))
+    sums = counts.groupBy(*by).agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("lean").alias("lean"))
     log = F.log("pages")
-    return sums.select(*by, "pages", F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), (log - F.col("s") / F.col("pages")) / log)).otherwise(1.0).alias(f"h_{value}"))
+    return sums.select(*by, "pages", (F.col("lean") / F.col("pages")).alias("lean"), F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), (log - F.col("s") / F.col("pages")) / log)).otherwise(1.0).alias(f"h_{value}"))
 
 
 def importance(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, pages, importance) for rows (by, style, content, n)."""
-    both = _entropy(rows, by, "content").join(_entropy(rows, by, "style").drop("pages"), by)
-    return both.select(*by, "pages", (CONTENT * F.col("h_content") + (1 - CONTENT) * F.col("h_style")).alias("importance"))
+    """(by, pages, lean, importance) for rows (by, style, content, n, lean)."""
+    both = _entropy(rows, by, "content").join(_entropy(rows, by, "style").drop("pages", "lean"), by)
+    return both.select(*by, "pages", "lean", (CONTENT * F.col("h_content") + (1 - CONTENT) * F.col("h_style")).alias("importance"))
 
 
 def unimportant_branches(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(host, branches): hashes of the branches that go on every page of a host."""
 
-    @F.pandas_udf("array<struct<path: long, style: long, content: long>>")
+    @F.pandas_udf("array<struct<path: long, style: long, content: long, lean: int>>")
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([votes(parse(t)) for t in texts])
 
     raw = pages.select(host_of(F.col(url)).alias("host"), F.explode(vote.asNondeterministic()(html)).alias("v"))
-    rows = raw.groupBy("host", "v.path", "v.style", "v.content").agg(F.count("*").alias("n"))
+    rows = raw.groupBy("host", "v.path", "v.style", "v.content").agg(F.count("*").alias("n"), F.sum("v.lean").alias("lean"))
     own = importance(rows, ["host", "path"])
     every = importance(rows, ["path"]).select("path", F.col("pages").alias("all_pages"), F.col("importance").alias("all_importance"))
     size = pages.groupBy(host_of(F.col(url)).alias("host")).agg(F.count("*").alias("size"))
     prior = F.least(F.lit(PRIOR_PAGES), F.col("all_pages"))
     judged = own.join(every, "path").join(size, "host").where((F.col("all_pages") >= FEWEST) & (F.col("pages") >= SHARE * F.col("size")))
     mixed = (F.col("pages") * F.col("importance") + prior * F.col("all_importance")) / (F.col("pages") + prior)
-    return judged.where(mixed < LEAST).groupBy("host").agg(F.collect_list("path").alias("branches"))
+    return judged.where(mixed + LEAN * F.col("lean") < LEAST).groupBy("host").agg(F.collect_list("path").alias("branches"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

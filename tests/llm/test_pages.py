@@ -54,3 +54,32 @@ def test_clashing_columns_and_no_rows(spark):
 def test_equal_pages_keep_their_text(spark):
     same = spark.createDataFrame([(i, "http://c.example/", "<body><div><p>only text</p></div></body>") for i in range(20)], "page_id long, url string, html string")
     assert {r["text"] for r in st.extract(same).collect()} == {"only text"}
+
+
+def test_boilerplate_in_an_article_goes(spark):
+    made = [
+        (i, f"http://d.example/{i}", f"<body><div class='wrap'><article><h1>Title {i}</h1><p>story {i}</p><div class='zeta'><p>Same notice</p></div></article></div></body>")
+        for i in range(12)
+    ]
+    got = {r["page_id"]: r["text"] for r in st.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n\nstory {i}" for i in range(12)}
+
+
+def test_story_outside_a_small_article_stays(spark):
+    made = [
+        (i, f"http://e.example/{i}", f"<body><div class='eta'><p>story {i} begins</p><p>and {i * 7} ends</p></div><article class='card'><p>Read this too</p></article></body>")
+        for i in range(12)
+    ]
+    got = {r["page_id"]: r["text"] for r in st.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i} begins\n\nand {i * 7} ends" for i in range(12)}
+
+
+def test_article_is_a_prior():
+    inside, beside = (dict.fromkeys(v[3] for v in st.votes(st.parse(h))) for h in ("<main><div>a</div></main>", "<div>b</div><main>c</main>"))
+    assert list(inside) == [1] and set(beside) == {1, -1}
+    assert {v[3] for v in st.votes(st.parse("<div>b</div><main></main>"))} == {0}
+
+
+def test_equal_pages_keep_the_article_alone(spark):
+    same = [(i, "http://f.example/", "<body><div>Top line</div><article><p>only text</p></article></body>") for i in range(20)]
+    assert {r["text"] for r in st.extract(spark.createDataFrame(same, "page_id long, url string, html string")).collect()} == {"only text"}
