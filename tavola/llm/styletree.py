@@ -20,8 +20,8 @@ blocks are joined by an empty line.
 Defined results: null and empty html give an empty text; a null url belongs to the host
 ''; if only unimportant branches hold text, they are kept, those in `article` or `main` alone
 if there are any (a site of equal pages has nothing to tell them apart by); a branch without text on a page has no vote there; broken markup never fails, an element that is not closed
-ends with its parent; repeated rows vote repeatedly. A host's list of unimportant branches holds those on at least
-`SHARE` of its pages, so its length is bounded by the nodes of a page, not by their number. Columns named like
+ends with its parent; repeated rows vote repeatedly. Unimportant branches are joined to the
+branches of each page, so the list that a page gets is bounded by its own nodes, whatever its host has. Columns named like
 the results are replaced; all others stay.
 """
 
@@ -45,9 +45,10 @@ LEAST = 0.3
 LEAN = 0.1
 #: Pages of the tree of all hosts that count beside a host's own.
 PRIOR_PAGES = 10
-#: Fewest pages, and least share of a host's pages, on which a branch can be judged.
+#: Fewest pages on which a branch can be judged.
 FEWEST = 3
-SHARE = 0.01
+#: Parts into which the pages of a host are dealt when they meet its branches.
+SALTS = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "xmp", "iframe", "noembed", "noframes"))
@@ -241,23 +242,40 @@ def importance(rows: DataFrame, by: list[str]) -> DataFrame:
     return both.select(*by, "pages", "lean", (CONTENT * F.col("h_content") + (1 - CONTENT) * F.col("h_style")).alias("importance"))
 
 
+def _host_key(url: str) -> Column:
+    return F.xxhash64(host_of(F.col(url)))
+
+
 def unimportant_branches(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, branches): hashes of the branches that go on every page of a host."""
+    """(host, path): hashes of the branches that go on every page of a host."""
 
     @F.pandas_udf("array<struct<path: long, style: long, content: long, lean: int>>")
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([votes(parse(t)) for t in texts])
 
-    raw = pages.select(host_of(F.col(url)).alias("host"), F.explode(vote.asNondeterministic()(html)).alias("v"))
+    raw = pages.select(_host_key(url).alias("host"), F.explode(vote.asNondeterministic()(html)).alias("v"))
     rows = raw.groupBy("host", "v.path", "v.style", "v.content").agg(F.count("*").alias("n"), F.sum("v.lean").alias("lean"))
     own = importance(rows, ["host", "path"])
     every = importance(rows, ["path"]).select("path", F.col("pages").alias("all_pages"), F.col("importance").alias("all_importance"))
-    size = pages.groupBy(host_of(F.col(url)).alias("host")).agg(F.count("*").alias("size"))
     prior = F.least(F.lit(PRIOR_PAGES), F.col("all_pages"))
-    judged = own.join(every, "path").join(size, "host").where((F.col("all_pages") >= FEWEST) & (F.col("pages") >= SHARE * F.col("size")))
+    judged = own.join(every, "path").where(F.col("all_pages") >= FEWEST)
     mixed = (F.col("pages") * F.col("importance") + prior * F.col("all_importance")) / (F.col("pages") + prior)
-    return judged.where(mixed + LEAN * F.col("lean") < LEAST).groupBy("host").agg(F.collect_list("path").alias("branches"))
+    return judged.where(mixed + LEAN * F.col("lean") < LEAST).select("host", "path")
+
+
+def branches_of_pages(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, page, branches): the unimportant branches that a page has; a page goes by the hash of its html."""
+
+    @F.pandas_udf("array<long>")
+    def paths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sorted({path_hash(n.path) for c, _ in parse(t).blocks for n in c if not n.noise}) for t in texts])
+
+    each = pages.select(_host_key(url).alias("host"), F.xxhash64(html).alias("page"), paths.asNondeterministic()(html).alias("paths"))
+    each = each.distinct().select("host", "page", F.explode("paths").alias("path")).withColumn("salt", F.pmod("page", F.lit(SALTS)))
+    low = unimportant_branches(pages, url, html).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return each.join(low, ["host", "path", "salt"]).groupBy("host", "page").agg(F.collect_list("path").alias("branches"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -268,7 +286,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
         for htmls, branches in batches:
             yield pd.Series([main_text(parse(h), frozenset(() if b is None else b)) for h, b in zip(htmls, branches)], dtype=object)
 
-    low = unimportant_branches(pages, url, html).select(F.col("host").alias("_host"), F.col("branches").alias("_branches"))
-    made = pages.withColumn("_host", host_of(F.col(url))).join(low, "_host", "left")
+    low = branches_of_pages(pages, url, html).select(F.col("host").alias("_host"), F.col("page").alias("_page"), F.col("branches").alias("_branches"))
+    made = pages.withColumns({"_host": _host_key(url), "_page": F.xxhash64(html)}).join(low, ["_host", "_page"], "left")
     made = made.withColumn("_text", extracted.asNondeterministic()(html, "_branches"))
-    return made.withColumns({text: F.col("_text"), n_chars: F.length("_text").cast("long")}).drop("_host", "_branches", "_text")
+    return made.withColumns({text: F.col("_text"), n_chars: F.length("_text").cast("long")}).drop("_host", "_page", "_branches", "_text")

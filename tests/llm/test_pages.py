@@ -83,3 +83,13 @@ def test_article_is_a_prior():
 def test_equal_pages_keep_the_article_alone(spark):
     same = [(i, "http://f.example/", "<body><div>Top line</div><article><p>only text</p></article></body>") for i in range(20)]
     assert {r["text"] for r in st.extract(spark.createDataFrame(same, "page_id long, url string, html string")).collect()} == {"only text"}
+
+
+def test_rare_boilerplate_of_a_large_host_goes(spark):
+    made = [
+        (i, f"http://g.example/{i}", f"<body><div class='beta'><p>story {i}</p></div>{'<div class=theta>Season notice</div>' if i % 200 == 0 else ''}</body>")
+        for i in range(2400)
+    ]
+    made.append((2400, *made[0][1:]))
+    got = {r["page_id"]: r["text"] for r in st.extract(spark.createDataFrame(made, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"story {i % 2400}" for i in range(2401)}
