@@ -21,8 +21,8 @@ secret      access keys and quoted tokens, by letter classes
 Day and month: year last means day first where that is a date, else month first.
 
 Defined results: null stays null; a text without matches stays as it is; a text of any
-length is scanned whole, once for a digit or `@` and, if it has one, for all patterns
-together. The number of values replaced is 0 for null. Columns named like the results are
+length is scanned whole, once for what every pattern needs one of (`HINT`) and, if it
+has one, for all patterns together. The number of values replaced is 0 for null. Columns named like the results are
 replaced, all others stay.
 """
 
@@ -45,6 +45,8 @@ DATE = r"(?<![\d./\-])(?:\d{4}([./\-])\d{1,2}\1\d{1,2}|\d{1,2}([./\-])\d{1,2}\2\
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?i:password|token|secret)\s?[=:]\s?[\"']?)[A-Za-z0-9]{16,}"
 
+#: A digit, `@` or the start of a secret: no pattern matches a text without.
+HINT = r"[0-9@]|AKIA|(?i:password|token|secret)"
 ALL = "|".join((EMAIL, SECRET, SSN, CARD, PHONE, IBAN, IP, DATE))
 
 #: Days of 400 years are 189 times 773.
@@ -263,7 +265,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str = "n_re
             ),
         )
 
-    made = F.when(t.rlike("[0-9@]"), _let(F.regexp_extract_all(t, F.lit(ALL), 0), rebuilt)).otherwise(
+    made = F.when(t.rlike(HINT), _let(F.regexp_extract_all(t, F.lit(ALL), 0), rebuilt)).otherwise(
         F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))
     )
     return df.withColumn("_pii", made).withColumns({text: F.col("_pii.text"), found: F.col("_pii.n")}).drop("_pii")
