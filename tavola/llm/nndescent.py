@@ -6,7 +6,7 @@ Equal vectors are one node. Every node keeps its `NEIGHBOURS` best neighbours so
   projections and the last projection, and cut into runs of `LEAF`; a run's nodes are compared with each other.
 * Rounds: a node's neighbours and the best nodes that have it as a neighbour meet at the node. Pairs of which
   one is new there are compared, since neighbours of neighbours are likely neighbours, and every one offers
-  its best finds to the other. Rounds end when few lists change, or after `ROUNDS`.
+  its best finds to the other. Rounds end when few lists change.
 * Search: a query starts at its own node and keeps the `BEAM` best nodes seen. In each
   round its best nodes not looked at yet are expanded, `EXPAND` at a time, by a join with the
   graph, until all of the beam have been. The best `RERANK` are scored in double precision on the original vectors.
@@ -39,12 +39,11 @@ NEIGHBOURS = 20
 REVERSE = 20
 TREES = 4
 LEAF = 128
-ROUNDS = 3
 #: Share of changed list entries below which the rounds end.
 SETTLED = 0.02
 #: Offers that one meeting makes to a node.
 OFFERS = 4
-BEAM = 200
+BEAM = 240
 EXPAND = 200
 RERANK = 3
 #: Rows of a sorted run that one task should hold.
@@ -169,7 +168,7 @@ def build(nodes: DataFrame, length: int, count: int, seed: int) -> DataFrame:
     """The graph: (a, b, sim), at most `NEIGHBOURS` rows for each node."""
     start = first_edges(nodes, length, count, seed).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     edges = cut(top(start, "a", "b", NEIGHBOURS).withColumn("fresh", F.lit(True)))
-    for _ in range(ROUNDS):
+    while True:
         offers = meet(edges, nodes).withColumn("fresh", F.lit(True))
         merged = edges.withColumn("fresh", F.lit(False)).unionByName(offers).groupBy("a", "b").agg(
             F.max("sim").alias("sim"), F.min("fresh").alias("fresh")
@@ -177,8 +176,7 @@ def build(nodes: DataFrame, length: int, count: int, seed: int) -> DataFrame:
         edges = cut(top(merged, "a", "b", NEIGHBOURS))
         changed = edges.where("fresh").count()
         if changed <= SETTLED * count * NEIGHBOURS:
-            break
-    return edges.drop("fresh")
+            return edges.drop("fresh")
 
 
 @F.pandas_udf(T.FloatType())

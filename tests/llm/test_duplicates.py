@@ -159,6 +159,19 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_graph_rounds_go_on_until_settled(spark, monkeypatch):
+    x = np.random.default_rng(3).standard_normal((500, 12)).astype(np.float32)
+    rounds = []
+    meet = nndescent.meet
+    monkeypatch.setattr(nndescent, "meet", lambda *a: rounds.append(1) or meet(*a))
+    monkeypatch.setattr(nndescent, "TREES", 1)
+    monkeypatch.setattr(nndescent, "LEAF", 8)
+    q, s = nndescent.packed([r.tolist() for r in x])
+    nodes = spark.createDataFrame([(i, bytearray(b), float(v)) for i, (b, v) in enumerate(zip(q, s))], "node long, q binary, s float").localCheckpoint()
+    graph = nndescent.build(nodes, 12, len(x), 1)
+    assert len(rounds) > 3 and graph.groupBy("a").count().where(f"count > {nndescent.NEIGHBOURS}").isEmpty()
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(0, 100, 20)], "vec_id long, embedding array<float>")
     got = nndescent.nearest(df).where("query_id = 20").orderBy("rank").collect()
