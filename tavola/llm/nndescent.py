@@ -7,7 +7,8 @@ Equal vectors are one node. Every node keeps its `NEIGHBOURS` best neighbours so
 * Rounds: a node's neighbours and the best nodes that have it as a neighbour meet at the node. Pairs of which
   one is new there are compared, since neighbours of neighbours are likely neighbours, and every one offers
   its best finds to the other. Rounds end when few lists change.
-* Search: a query starts at its own node and keeps the `BEAM` best nodes seen. In each
+* Search: a query starts at its own node and keeps the best nodes seen, `BEAM` or, in a
+  large table, `BEAM_GROWTH` times the square root of the nodes. In each
   round its best nodes not looked at yet are expanded, `EXPAND` at a time, by a join with the
   graph, until all of the beam have been. The best `RERANK` are scored in double precision on the original vectors.
 
@@ -44,6 +45,7 @@ SETTLED = 0.02
 #: Offers that one meeting makes to a node.
 OFFERS = 4
 BEAM = 240
+BEAM_GROWTH = 2
 EXPAND = 200
 RERANK = 3
 #: Rows of a sorted run that one task should hold.
@@ -185,7 +187,7 @@ def nearness(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]
         yield pd.Series(np.einsum("ij,ij->i", unpacked(q, s), unpacked(qq, qs)) if len(q) else [], dtype="float32")
 
 
-def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, beam_size: int = BEAM) -> DataFrame:
     """(query, node, sim) of the beam of each query, by greedy rounds from its own node.
 
     The graph is cached by node for the rounds. A round sends the nodes to expand to it, scores
@@ -203,7 +205,7 @@ def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         marked = beam.withColumns(
             {
                 "now": ~F.col("seen") & (F.row_number().over(order) <= EXPAND),
-                "floor": F.when(F.count("*").over(whole) >= BEAM, F.min("sim").over(whole)).otherwise(float("-inf")),
+                "floor": F.when(F.count("*").over(whole) >= beam_size, F.min("sim").over(whole)).otherwise(float("-inf")),
             }
         )
         front = marked.where("now").select("query", F.col("node").alias("u"), "floor").join(asked, "query")
@@ -211,7 +213,7 @@ def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         near = near.select("query", F.col("m").alias("node"), "sim", F.lit(False).alias("seen"))
         looked = marked.select("query", "node", "sim", (F.col("seen") | F.col("now")).alias("seen"))
         merged = looked.union(near).repartition("query").groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("seen").alias("seen"))
-        beam = cut(top(merged, "query", "node", BEAM))
+        beam = cut(top(merged, "query", "node", beam_size))
     graph.unpersist()
     return beam.where("sim < double('inf')").select("query", "node", "sim")
 
@@ -240,7 +242,7 @@ def nearest(
     edges = build(nodes, length, count, seed)
     members = rows.join(kinds, "v").select("id", "node")
     asked = members.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "node").distinct()
-    found = search(asked, edges, nodes)
+    found = search(asked, edges, nodes, max(BEAM, round(BEAM_GROWTH * count**0.5)))
     found = top(found, "query", "node", RERANK * k)
     found = found.select("query", "node").union(asked)  # copies of the query itself are near as well
     one = asked.join(kinds, "node").select("query", F.col("v").alias("qv"))
