@@ -3,10 +3,13 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tavola.llm import components as module
 from tavola.llm import minhash, nndescent, projections
 from tavola.llm.components import components
+from tavola.session import cut
 
 
 def smallest(nodes, links):
@@ -32,6 +35,41 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect())
     assert got == smallest({n for p in links for n in p}, links)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([(4, 4), (None, 5)], "a long, b long")).collect() == [(4, 4)]
+
+
+def shuffled(n):
+    order = list(range(n))
+    random.Random(n).shuffle(order)
+    return order
+
+
+CHAINS = {
+    "ascending": [(i, i + 1) for i in range(999)],
+    "descending": [(2000 - i, 1999 - i) for i in range(999)],
+    "shuffled": list(zip(shuffled(1000), shuffled(1000)[1:])),
+    "star": [(10_000, i) for i in range(999)],
+}
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    u, v = rng.integers(0, 500, 300), rng.integers(0, 500, 300)
+    want = smallest(set(u) | set(v), zip(u, v))
+    got = dict(zip(*module.forest(u, v)))
+    assert {n: got.get(n, n) for n in want} == want
+
+
+@pytest.mark.parametrize("shape", CHAINS)
+def test_rounds_are_few(spark, monkeypatch, shape):
+    links = CHAINS[shape]
+    monkeypatch.setattr(module, "thinned", lambda batches: batches)  # rounds alone, without forests of partitions
+    rounds = []
+    hooks = module._hooks
+    monkeypatch.setattr(module, "_hooks", lambda *a: rounds.append(1) or hooks(*a))
+    got = dict(components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect())
+    assert got == smallest({n for p in links for n in p}, links)
+    assert len(rounds) <= 10  # the nodes at least halve
 
 
 def shingles(text):
@@ -167,7 +205,8 @@ def test_graph_rounds_go_on_until_settled(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "TREES", 1)
     monkeypatch.setattr(nndescent, "LEAF", 8)
     q, s = nndescent.packed([r.tolist() for r in x])
-    nodes = spark.createDataFrame([(i, bytearray(b), float(v)) for i, (b, v) in enumerate(zip(q, s))], "node long, q binary, s float").localCheckpoint()
+    nodes = spark.createDataFrame([(i, bytearray(b), float(v)) for i, (b, v) in enumerate(zip(q, s))], "node long, q binary, s float")
+    nodes = cut(nodes)
     graph = nndescent.build(nodes, 12, len(x), 1)
     assert len(rounds) > 3 and graph.groupBy("a").count().where(f"count > {nndescent.NEIGHBOURS}").isEmpty()
 
