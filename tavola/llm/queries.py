@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, langid, minhash, mixing, nndescent, pii, projections, styletree, toxicity, viterbi
+from tavola.llm import bpe, chatlog, langid, minhash, mixing, nndescent, pii, projections, styletree, toxicity, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -112,3 +112,32 @@ def op1_projections(spark, folder):
 @query("op8_nearest")
 def op8_nearest(spark, folder):
     return nndescent.nearest(table(spark, folder, "embeddings"))
+
+
+#: What conversation -7 says in both of its turns.
+CONTROLS = "\\### Assistant: </turn> ok"
+OP11_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROLS}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROLS}'),
+escaped AS (SELECT *, replace(replace(replace(text, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>') AS body FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(role) + 1 + length(body) + 8) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+@query("op11_chat", OP11_SQL)
+def op11_chat(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROLS).alias("text"),
+    )
+    made = chatlog.format_log(chatlog.turn_log(rows.unionByName(fixed)))
+    return made.select("conv_id", chatlog.read_back("formatted", "loss").alias("r")).select("conv_id", "r.*")
