@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, chatlog, langid, minhash, mixing, nndescent, pii, projections, styletree, toxicity, viterbi
+from tavola.llm import bpe, chatlog, langid, minhash, mixing, nndescent, pii, prefixtrie, projections, styletree, toxicity, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -141,3 +141,37 @@ def op11_chat(spark, folder):
     )
     made = chatlog.format_log(chatlog.turn_log(rows.unionByName(fixed)))
     return made.select("conv_id", chatlog.read_back("formatted", "loss").alias("r")).select("conv_id", "r.*")
+
+
+#: CRC-32 of a decimal, bit by bit: DuckDB has no function for it.
+CRC_SQL = """xor(list_reduce([4294967295] || list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+OP12_SQL = f"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT c, {CRC_SQL.format(id='c')} % 9 AS h FROM own),
+rebuilt AS (
+  SELECT convs.c, 0 AS part, i, role, text FROM convs JOIN own ON own.c = convs.c - convs.c % 5 AND i <= h
+  UNION ALL SELECT convs.c, 1, i, role, text FROM convs JOIN own ON own.c = convs.c AND i > h),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, text,
+    md5(length(role) || ':' || role || text) AS item FROM rebuilt),
+paths AS (SELECT c, d, text, string_agg(item, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS p FROM turns
+  UNION ALL SELECT c, 0, '', '' FROM convs),
+len AS (SELECT c, max(d) AS n FROM paths GROUP BY c),
+nodes AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(text) AS text,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '') AS last FROM paths JOIN len USING (c) GROUP BY p, d),
+kids AS (SELECT left(p, 32 * (CAST(d AS INTEGER) - 1)) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+subtree AS (SELECT above.p, count(*) FILTER (WHERE below.n_children = 0) AS n_leaves,
+    sum((below.n_convs - 1) * strlen(below.text)) AS saved_tokens
+  FROM known below, LATERAL (SELECT unnest(range(0, below.d + 1)) AS k), known above
+  WHERE above.d = k AND above.p = left(below.p, 32 * CAST(k AS INTEGER)) GROUP BY above.p)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.last) AS ends_sha256
+FROM known n JOIN subtree USING (p) LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d - 1 AND up.p = left(n.p, 32 * (CAST(n.d AS INTEGER) - 1))
+"""
+
+
+@query("op12_trie", OP12_SQL)
+def op12_trie(spark, folder):
+    return prefixtrie.trie(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
