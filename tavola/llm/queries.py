@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavola.llm import bpe, chatlog, langid, minhash, mixing, nndescent, pii, prefixtrie, projections, styletree, toxicity, viterbi
+from tavola.llm import alignment, bpe, chatlog, langid, minhash, mixing, nndescent, pii, prefixtrie, projections, styletree, toxicity, viterbi
 from tavola.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -175,3 +175,12 @@ FROM known n JOIN subtree USING (p) LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d
 @query("op12_trie", OP12_SQL)
 def op12_trie(spark, folder):
     return prefixtrie.trie(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op13_alignment")
+def op13_alignment(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return alignment.alignment(docs, BYTE_FILE, PIECES_FILE, digest=True).withColumnRenamed("groups", "groups_sha256")
