@@ -9,7 +9,10 @@ lots plus needs; no pairs are formed.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tavola.operators.running import running_total
@@ -180,54 +183,108 @@ def deplete(batches: DataFrame, needs: DataFrame, **size) -> DataFrame:
 def accepted_orders(batches: DataFrame, needs: DataFrame, width: int = 65536) -> DataFrame:
     """(order_id, accepted) when an order with any shortage is refused as a whole.
 
-    Orders are taken in order of `order_id`, and a refused one uses no stock. Each
-    round bounds the use before every open order from above (all open ones are
-    accepted) and below (none is). Fitting under the first decides for an order,
-    not fitting under the second against it. The earliest open order of a location
-    is always decided, so the rounds end with every order decided.
+    Orders are taken in order of `order_id`, and a refused one uses no stock; an order
+    belongs to one location. The number of jobs does not depend on the orders:
+
+    1. A key whose needs fit its supply together binds no order.
+    2. Sums of buckets of `width` ids tell in which bucket a location's first key runs
+       out; the orders of all earlier buckets are accepted.
+    3. The keys of the rest are grouped by the orders that need several of them. An order lies
+       in one group, so groups are independent; each is walked once, in order, in a stream that
+       holds the quantities taken per key and the lines of one order.
     """
+    return _accepted(batches, _wanted(needs), width)
+
+
+def _wanted(needs: DataFrame) -> DataFrame:
+    return cut(needs.where(F.col("need") > 0).select(*KEYS, "order_id", F.col("need").cast(AMOUNT).alias("need")))
+
+
+def _accepted(batches: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    place, _ = KEYS
     supply = usable(batches).groupBy(*KEYS).agg(F.sum("qty").cast(AMOUNT).alias("supply"))
-    state = cut(
-        needs.where(F.col("need") > 0)
-        .join(supply, KEYS, "left")
-        .select(
-            *KEYS,
-            "order_id",
-            F.col("need").cast(AMOUNT).alias("need"),
-            F.coalesce("supply", F.lit(0)).cast(AMOUNT).alias("supply"),
-            F.lit(None).cast("boolean").alias("accepted"),
-        )
-    )
-    while not state.where(F.col("accepted").isNull()).isEmpty():
-        state = cut(_decide(state, width))
-    return state.groupBy("order_id").agg(F.bool_and("accepted").alias("accepted"))
-
-
-def _decide(state: DataFrame, width: int) -> DataFrame:
-    live = state.where(F.col("accepted").isNull() | F.col("accepted"))
-    sure = F.when(F.col("accepted"), F.col("need")).otherwise(F.lit(0).cast(AMOUNT))
-    lines = running_total(
-        live,
-        KEYS,
-        {"_ids": id_bucket("order_id", width)},
-        [F.asc("order_id")],
-        {"high": F.col("need"), "low": sure},
-    )
-    lines = lines.select(
-        "order_id",
-        (F.col("high") <= F.col("supply")).alias("fits"),
-        (F.col("low") + F.when(F.col("accepted").isNull(), F.col("need")).otherwise(0) > F.col("supply")).alias("over"),
-    )
-    verdicts = lines.groupBy("order_id").agg(F.bool_and("fits").alias("fits"), F.bool_or("over").alias("over"))
-    verdict = F.when(F.col("fits"), True).when(F.col("over"), False)
-    return (
-        state.join(verdicts, "order_id", "left")
-        .withColumn("accepted", F.coalesce("accepted", verdict))
-        .drop("fits", "over")
-    )
+    have = F.coalesce("supply", F.lit(0)).cast(AMOUNT)
+    total = wanted.groupBy(*KEYS).agg(F.sum("need").alias("total")).join(supply, KEYS, "left")
+    binding = total.where(F.col("total") > have).select(*KEYS, have.alias("supply"))
+    lines = wanted.withColumn("_b", id_bucket("order_id", width)).join(binding, KEYS)
+    sums = lines.groupBy(*KEYS, "_b", "supply").agg(F.sum("need").alias("need"))
+    so_far = F.sum("need").over(W.partitionBy(*KEYS).orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
+    sums = cut(sums.withColumn("out", so_far > F.col("supply")))
+    first = sums.where("out").groupBy(place).agg(F.min("_b").alias("first"))
+    used = sums.join(first, place).where("_b < first").groupBy(*KEYS).agg(F.sum("need").alias("used"))
+    open_ = lines.join(first, place).where("_b >= first").join(used, KEYS, "left")
+    verdicts = _walked(open_.withColumn("room", F.col("supply") - F.coalesce("used", F.lit(0))))
+    orders = wanted.select("order_id").distinct().join(verdicts, "order_id", "left")
+    return orders.select("order_id", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+
+
+def _walked(lines: DataFrame) -> DataFrame:
+    """(order_id, accepted) of the orders in lines (keys, order_id, need, room)."""
+    place, key = KEYS
+    units = [(F.col(c) * 10_000).cast("decimal(38,0)").cast("bigint").alias(c) for c in ("need", "room")]
+    lines = lines.select(place, key, "order_id", *units)
+    # A location's keys that share an order; as many rows as pairs of its keys, whatever the number of orders.
+    spans = lines.groupBy(place, "order_id").agg(F.min(key).alias("low"), F.collect_set(key).alias("keys"))
+    pairs = spans.select(place, "low", F.explode("keys").alias(key)).distinct()
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    parts = pairs.groupBy(place).applyInPandas(_parts, f"{place} {kinds[place]}, {key} {kinds[key]}, part long")
+    grouped = lines.join(parts, KEYS).select(place, "part", "order_id", F.col(key).cast("string").alias("key"), "need", "room")
+    ordered = grouped.repartition(place, "part").sortWithinPartitions(place, "part", "order_id")
+    return ordered.mapInArrow(_walk, f"order_id {kinds['order_id']}, accepted boolean")
+
+
+def _parts(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Connected groups of one location's keys, from its distinct pairs (low, key)."""
+    key = pairs.columns[2]
+    root: dict = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for low, other in zip(pairs["low"], pairs[key]):
+        root[find(other)] = find(low)
+    number: dict = {}
+    found = [(pairs.iloc[0, 0], k, number.setdefault(find(k), len(number))) for k in list(root)]
+    return pd.DataFrame(found, columns=[pairs.columns[0], key, "part"])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Orders of sorted groups, decided one after the other."""
+    group = order = None
+    taken: dict[str, int] = {}
+    lines: list[tuple[str, int, int]] = []
+    orders: list = []
+    verdicts: list[bool] = []
+
+    def decide() -> None:
+        good = all(taken.get(k, 0) + need <= room for k, need, room in lines)
+        if good:
+            for k, need, _ in lines:
+                taken[k] = taken.get(k, 0) + need
+        orders.append(order)
+        verdicts.append(good)
+
+    for batch in batches:
+        id_type = batch.column(2).type
+        for place, part, number, key, need, room in zip(*(c.to_pylist() for c in batch.columns)):
+            if number != order or (place, part) != group:
+                if lines:
+                    decide()
+                if (place, part) != group:
+                    group, taken = (place, part), {}
+                order, lines = number, []
+            lines.append((key, need, room))
+        yield pa.RecordBatch.from_arrays([pa.array(orders, id_type), pa.array(verdicts, pa.bool_())], ["order_id", "accepted"])
+        orders, verdicts = [], []
+    if lines:
+        decide()
+        yield pa.RecordBatch.from_arrays([pa.array(orders, id_type), pa.array(verdicts, pa.bool_())], ["order_id", "accepted"])
 
 
 def fifo_allocate_strict(batches: DataFrame, needs: DataFrame, width: int = 65536, **size) -> DataFrame:
     """Allocation in which an order with any shortage takes nothing."""
-    good = accepted_orders(batches, needs, width).where("accepted").select("order_id")
-    return fifo_allocate(batches, needs.join(good, "order_id", "left_semi"), width=width, **size)
+    wanted = _wanted(needs)
+    refused = _accepted(batches, wanted, width).where("NOT accepted").select("order_id")
+    return fifo_allocate(batches, wanted.join(refused, "order_id", "left_anti"), width=width, **size)

@@ -137,6 +137,28 @@ def test_random_strict(spark, seed):
     assert refused
 
 
+def test_alternating_orders(spark):
+    """10,000 orders on one key: each large one is refused, each small one accepted, until nothing is left."""
+    wants = [(1, 1, o, Decimal(9 if o % 2 else 1)) for o in range(10_000)]
+    stock = [(1, 1, 1, Decimal(4000), DAY, True, Decimal(0)), (1, 1, 2, Decimal("8.5"), None, True, Decimal(0))]
+    wants += [(1, 2, o, Decimal(1)) for o in range(0, 10_000, 7)]
+    stock.append((1, 2, 3, Decimal(600), DAY, True, Decimal(0)))
+    _, _, refused = walk(stock, wants, strict=True)
+    got = fifo.accepted_orders(spark.createDataFrame(stock, LOTS), spark.createDataFrame(wants, NEEDS).repartition(3))
+    assert {r["order_id"] for r in got.where("NOT accepted").collect()} == refused
+    assert got.count() == 10_000 and 0 < len(refused) < 10_000
+
+
+def test_jobs_do_not_grow_with_orders(spark, monkeypatch):
+    cuts = []
+    cut = fifo.cut
+    monkeypatch.setattr(fifo, "cut", lambda df: cuts.append(1) or cut(df))
+    for n in (10, 1000):
+        stock = lots(spark, [(1, n, None, True)])
+        fifo.accepted_orders(stock, needs(spark, [(o, 3 if o % 2 else 1) for o in range(n)])).collect()
+    assert len(cuts) == 4
+
+
 def test_demand_lines(spark):
     items = spark.createDataFrame([(1, 7, 2), (1, 7, 1), (1, 8, 1), (2, 8, 4)], "order_id long, dish_id int, qty int")
     recipe = spark.createDataFrame([(7, 1, 10), (8, 1, 5), (8, 2, 1)], "dish_id int, ingredient_id int, qty_required int")
