@@ -114,30 +114,35 @@ def lockstep(ends_a: list[np.ndarray], ends_b: list[np.ndarray]) -> tuple[np.nda
     return i[order], j[order]
 
 
-def groups_text(a: list[str], b: list[str], cuts_a: list[int], cuts_b: list[int]) -> str:
-    """Ids of every group, A and B; a cut is the place after a group's last token."""
-    parts, p, q = [], 0, 0
-    for x, y in zip(cuts_a, cuts_b):
-        parts.append(f"{','.join(a[p:x])}|{','.join(b[q:y])}")
-        p, q = x, y
-    return ";".join(parts)
-
-
 class Aligner:
     def __init__(self, byte_level: ByteLevel, pieces: Pieces):
         self.a, self.b = byte_level, pieces
         self.size_a, self.size_b = (np.array([len(t) for t in m.bytes]) for m in (byte_level, pieces))
-        self.text_a, self.text_b = ([str(i) for i in range(len(m.bytes))] for m in (byte_level, pieces))
+        # Every id followed by a comma or, at the end of its group, by a bar (A) or semicolon (B).
+        self.shown = [f"{i}{mark}" for m, marks in ((byte_level, ",|"), (pieces, ",;")) for mark in marks for i in range(len(m.bytes))]
+
+    def groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
+        """Ids of every group, A and B, given the places of the groups' last tokens."""
+        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_a[last_a] = end_b[last_b] = 1
+        before_a, before_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+        row = np.empty(len(a) + len(b), np.int64)
+        row[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[before_a]] = a + end_a * len(self.size_a)
+        row[np.arange(len(b)) + (last_a + 1)[before_b]] = b + end_b * len(self.size_b) + 2 * len(self.size_a)
+        return "".join(map(self.shown.__getitem__, row.tolist()))[:-1]
 
     def chunk(self, texts: list[str]) -> Iterator[tuple]:
-        """(n_a, n_b, cuts, groups, pairs, times) of every text."""
+        """(n_a, n_b, n_groups, groups, pairs, times) of every text.
+
+        The byte-level tokens are pieces of the text, so their bytes join to it if their sizes add up.
+        """
         kept, tokens = [], []
         for at, text in enumerate(texts):
             if not text:
                 continue
             whole = " " + text
             a, b, plain = self.a.encode(whole), self.b.encode(text), whole.encode()
-            if b"".join(map(self.a.bytes.__getitem__, a.tolist())) == plain == b"".join(map(self.b.bytes.__getitem__, b.tolist())):
+            if self.size_a[a].sum() == len(plain) and plain == b"".join(map(self.b.bytes.__getitem__, b.tolist())):
                 kept.append(at)
                 tokens.append((a, b))
         out: list[tuple] = [(0, 0, 0, "", b"", b"")] * len(texts)
@@ -149,9 +154,7 @@ class Aligner:
         for n, (at, (a, b)) in enumerate(zip(kept, tokens)):
             x, y = i[bounds[n] : bounds[n + 1]] - first_a[n], j[bounds[n] : bounds[n + 1]] - first_b[n]
             pairs, times = np.unique(a[x].astype(np.int64) << 32 | b[y], return_counts=True)
-            a_text, b_text = [self.text_a[t] for t in a.tolist()], [self.text_b[t] for t in b.tolist()]
-            groups = groups_text(a_text, b_text, (x + 1).tolist(), (y + 1).tolist())
-            out[at] = (len(a), len(b), len(x), groups, pairs.tobytes(), times.astype(np.int32).tobytes())
+            out[at] = (len(a), len(b), len(x), self.groups(a, b, x, y), pairs.tobytes(), times.astype(np.int32).tobytes())
         return iter(out)
 
     def texts(self, texts: list[str | None]) -> list[tuple]:
