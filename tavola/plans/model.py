@@ -8,9 +8,6 @@ from tavola.operators import guardmodel as gm, metrics, textweights
 from tavola.plans.guard import LOG, SCAN
 from tavola.plans.registry import query
 
-# No bound: texts have far more n-grams than statements, and every one has its column.
-TEXT_VOCABULARY = 2**31 - 1
-
 _GRAMS = """list_concat(list_concat(
     list_transform(range(1, len(x) - 1), lambda i: x[i] || x[i + 1] || x[i + 2]),
     list_transform(range(1, len(x) - 2), lambda i: x[i] || x[i + 1] || x[i + 2] || x[i + 3])),
@@ -136,7 +133,7 @@ def _(c):
     """The classifier on real texts: labelled documents, held-out metrics."""
     labels = c.raw("labels").where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
     docs = c.raw("documents").select("doc_id", F.col("text").alias("sql")).join(labels, "doc_id")
-    return gm.holdout_metrics(docs, "doc_id", vocabulary=TEXT_VOCABULARY)
+    return gm.holdout_metrics(docs, "doc_id")
 
 
 # Metrics on a fixed score ------------------------------------------------------------------
