@@ -40,7 +40,7 @@ from tavola.session import store
 #: Pairs that are sent to all tasks, at 17 bytes each.
 SENT = 1 << 19
 #: Characters of the texts whose tokens a task holds at once; a longer text is alone.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 #: Distinct pairs a task counts before it hands them on.
 COUNTED = 1 << 20
 
@@ -115,21 +115,23 @@ def lockstep(ends_a: list[np.ndarray], ends_b: list[np.ndarray]) -> tuple[np.nda
 
 
 class Aligner:
-    def __init__(self, byte_level: ByteLevel, pieces: Pieces):
+    def __init__(self, byte_level: ByteLevel, pieces: Pieces, digest: bool = False):
+        self.digest = digest
         self.a, self.b = byte_level, pieces
         self.size_a, self.size_b = (np.array([len(t) for t in m.bytes]) for m in (byte_level, pieces))
         # Every id followed by a comma or, at the end of its group, by a bar (A) or semicolon (B).
         self.shown = [f"{i}{mark}" for m, marks in ((byte_level, ",|"), (pieces, ",;")) for mark in marks for i in range(len(m.bytes))]
 
     def groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
-        """Ids of every group, A and B, given the places of the groups' last tokens."""
+        """Ids of every group, A and B (or their digest), given the places of the groups' last tokens."""
         end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         end_a[last_a] = end_b[last_b] = 1
         before_a, before_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
         row = np.empty(len(a) + len(b), np.int64)
         row[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[before_a]] = a + end_a * len(self.size_a)
         row[np.arange(len(b)) + (last_a + 1)[before_b]] = b + end_b * len(self.size_b) + 2 * len(self.size_a)
-        return "".join(map(self.shown.__getitem__, row.tolist()))[:-1]
+        text = "".join(map(self.shown.__getitem__, row.tolist()))[:-1]
+        return hashlib.sha256(text.encode()).hexdigest() if self.digest else text
 
     def chunk(self, texts: list[str]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, groups, pairs, times) of every text.
@@ -186,14 +188,12 @@ def align(docs: DataFrame, byte_level: str, pieces: str, doc_id: str = "doc_id",
         file_b = context.broadcast(f.read())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(_loaded(ByteLevel, file_a.value), _loaded(Pieces, file_b.value))
+        aligner = Aligner(_loaded(ByteLevel, file_a.value), _loaded(Pieces, file_b.value), digest)
         names = ["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs", "times"]
         types = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * 2
         for batch in batches:
             made = aligner.texts(batch.column("text").to_pylist())
             columns = [list(c) for c in zip(*made)] if made else [[]] * 6
-            if digest:
-                columns[3] = [g and hashlib.sha256(g.encode()).hexdigest() for g in columns[3]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
