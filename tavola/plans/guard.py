@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tavola.functions import sqlguard as g
 from tavola.operators import guard
 from tavola.plans.registry import query
+from tavola.session import shared_dir
+from tavola.sources import corpus
 from tavola.sources.tables import catalog_of
 
 
@@ -223,3 +227,21 @@ def _(c):
 @query("o105_guard_summary", f"WITH {LOG} SELECT layer, allowed, count(*) AS cnt FROM ({SCAN}) GROUP BY 1, 2")
 def _(c):
     return guard.summary(guard.scan(_log(c)))
+
+
+@query(
+    "o104_statements",
+    r"""WITH l AS (SELECT log_id, list_filter(list_transform(string_split(sql, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS x FROM d_sql_log),
+        f AS (SELECT log_id, x, list_max(list_filter(range(1, len(x) + 1),
+                  lambda i: regexp_matches(x[i], '(?i)^(SELECT|WITH|EXPLAIN|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|TRUNCATE)'))) AS first FROM l),
+        s AS (SELECT log_id, array_to_string(x[first:], ' ') AS sql FROM f WHERE first IS NOT NULL)
+        SELECT log_id, len(list_filter(string_split(regexp_replace(sql, '''[^'']*''', '', 'g'), ';'), lambda p: trim(p) <> '')) AS parts FROM s""",
+)
+def _(c):
+    """The log as one file of numbered statements, read by many tasks and split."""
+    folder = f"{shared_dir(c.spark)}/statements-{uuid.uuid4().hex}"
+    text = F.concat_ws("\n", F.concat(F.col("log_id").cast("string"), F.lit(". log "), F.col("log_id").cast("string")), "sql")
+    c.sql_log.select(text.alias("value")).coalesce(1).write.text(folder)
+    found = corpus.read_statements_split(c.spark, folder)
+    numbered = found.withColumn("log_id", F.regexp_extract("description", r"log (\d+)", 1).cast("long"))
+    return numbered.groupBy("log_id").agg(F.count(F.lit(1)).alias("parts"))

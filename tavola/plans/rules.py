@@ -351,3 +351,49 @@ def _(c):
 )
 def _(c):
     return access.scoped_counts(c.orders, _primary(c))
+
+
+def _filtered(source: str, link: str) -> str:
+    return f"SELECT {link}, count(*) AS cnt FROM {source} GROUP BY 1"
+
+
+@query(
+    "o121_row_filter_items",
+    _filtered("d_items WHERE order_id IN (SELECT id FROM d_orders WHERE restaurant_id = 3)", "order_id"),
+)
+def _(c):
+    seen = access.row_filter(c.items, "order_items", "waiter", 3, orders=c.orders)
+    return seen.groupBy("order_id").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(
+    "o121_row_filter_feedbacks",
+    _filtered("d_feedbacks WHERE order_id IN (SELECT id FROM d_orders WHERE restaurant_id = 3)", "order_id"),
+)
+def _(c):
+    seen = access.row_filter(c.feedbacks, "feedbacks", "manager", 3, orders=c.orders)
+    return seen.groupBy("order_id").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(
+    "o121_row_filter_employees",
+    "SELECT id, full_name FROM d_employees WHERE id IN (SELECT employee_id FROM d_assignments WHERE restaurant_id = 3)",
+)
+def _(c):
+    return access.row_filter(c.employees, "employees", "manager", 3, assignments=c.assignments).select("id", "full_name")
+
+
+# Names per location, as a seed script lists them.
+NAMED = {1: ["Customer#000000001", "Customer#000000004"], 2: ["Customer#000000002"], 5: ["Customer#000000003", "Nobody"]}
+
+
+@query(
+    "o119_assigned_by_name",
+    "SELECT id AS employee_id, CAST(CASE " + " ".join(
+        f"WHEN full_name IN ({', '.join(repr(n) for n in names)}) THEN {place}" for place, names in NAMED.items()
+    ) + " END AS BIGINT) AS restaurant_id FROM d_employees WHERE full_name IN (" + ", ".join(
+        repr(n) for names in NAMED.values() for n in names
+    ) + ")",
+)
+def _(c):
+    return q.assign_by_name(c.employees, "full_name", NAMED)

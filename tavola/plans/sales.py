@@ -84,3 +84,34 @@ def _(c):
 def _(c):
     demand = rep.daily_demand(c.items, c.orders_by_key, c.dishes)
     return forecast.forecast(demand).withColumn("yhat", F.round("yhat", 5))
+
+
+def _facts(clusters, columns):
+    """Rows, clusters with members, whether centres ascend, and whether the squares within clusters are at most
+    half of all, over standardised columns."""
+    typed = clusters.withColumns({c: F.col(c).cast("double") for c in columns})
+    whole = typed.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev(c).alias(f"d_{c}") for c in columns])
+    scaled = typed.join(F.broadcast(whole)).select("cluster", *[((F.col(c) - F.col(f"m_{c}")) / F.col(f"d_{c}")).alias(c) for c in columns])
+    within = sum((F.var_pop(c) * F.count(F.lit(1)) for c in columns), F.lit(0.0))
+    per = scaled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(columns[0]).alias("centre"), within.alias("within"))
+    centres = F.transform(F.array_sort(F.collect_list(F.struct("cluster", "centre"))), lambda x: x["centre"])
+    return per.agg(
+        F.sum("n").alias("rows"),
+        F.count_if(F.col("n") > 0).alias("clusters"),
+        (centres == F.array_sort(centres)).alias("ascending"),
+        # Standardised columns have n - 1 squares each.
+        (F.sum("within") <= 0.5 * len(columns) * (F.sum("n") - 1)).alias("tight"),
+    )
+
+
+@query("o73a_dish_cluster_facts", f"SELECT count(*) AS rows, CAST(3 AS BIGINT) AS clusters, true AS ascending, true AS tight FROM ({SALES})")
+def _(c):
+    columns = ["total_revenue", "total_qty"]
+    return _facts(clustering.cluster(rep.dish_sales(c.items, c.dishes), columns), columns)
+
+
+@query("o73b_category_cluster_facts", f"SELECT count(*) AS rows, CAST(3 AS BIGINT) AS clusters, true AS ascending, true AS tight FROM ({CATEGORY_SALES})")
+def _(c):
+    columns = ["avg_price", "total_qty", "revenue"]
+    sales = rep.category_sales(c.items, c.orders_by_key, c.dishes)
+    return _facts(clustering.cluster(sales, columns), columns)

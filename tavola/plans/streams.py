@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from tavola.plans.guard import LOG, SCAN
 from tavola.plans.registry import query
+from tavola.session import shared_dir
 from tavola.sources.chain import Chain
-from tavola.streaming import jobs
+from tavola.streaming import changes, jobs
 
 
 class StreamChain(Chain):
@@ -45,3 +50,51 @@ def _(c):
     live = StreamChain(c.spark, c.folder)
     log = live.sql_log.select("log_id", "sql")
     return jobs.finished(jobs.screened(log), "append", lambda r: r.select("log_id", "allowed", "layer", "reason"))
+
+
+def _changes(c):
+    """A log of item changes: all lines come in, some are then changed, moved to the next order or deleted."""
+    line = F.col("l_linenumber")
+    # An order may hold a line number more than once; together these are one item.
+    lines = c.raw("lineitem").groupBy(F.col("l_orderkey").cast("long").alias("order"), line.alias("line")).agg(
+        F.sum(F.col("l_quantity").cast("int")).cast("int").alias("qty"),
+        F.max(F.col("l_extendedprice").cast("decimal(12,2)")).alias("price_at_order"),
+    )
+    lines = lines.withColumn("item_id", (F.col("order") * 10 + F.col("line")).cast("long"))
+    none, order = F.lit(None).cast("long"), F.col("order")
+    come = lines.select("item_id", F.lit(1).cast("long").alias("version"), none.alias("old_order_id"), order.alias("order_id"), "qty", "price_at_order")
+    later = lines.where("line IN (2, 3, 4)").select(
+        "item_id",
+        F.lit(2).cast("long").alias("version"),
+        order.alias("old_order_id"),
+        F.when(F.col("line") == 2, order).when(F.col("line") == 3, order + 1).alias("order_id"),
+        F.when(F.col("line") == 2, F.col("qty") + 1).otherwise(F.col("qty")).alias("qty"),
+        "price_at_order",
+    )
+    return come, later
+
+
+@query(
+    "o76_replayed_changes",
+    """WITH items AS (
+           SELECT l_orderkey, l_linenumber, SUM(CAST(l_quantity AS INT)) AS qty, MAX(CAST(l_extendedprice AS DECIMAL(12,2))) AS price
+           FROM lineitem GROUP BY 1, 2),
+       now AS (
+           SELECT CASE WHEN l_linenumber = 3 THEN l_orderkey + 1 ELSE l_orderkey END AS order_id,
+                  (qty + CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END) * price AS v
+           FROM items WHERE l_linenumber <> 4)
+       SELECT o.order_id, CAST(COALESCE(SUM(v), 0) AS DOUBLE) AS total_amount
+       FROM (SELECT DISTINCT l_orderkey AS order_id FROM lineitem UNION SELECT l_orderkey + 1 FROM lineitem WHERE l_linenumber = 3) o
+       LEFT JOIN now USING (order_id) GROUP BY 1""",
+)
+def _(c):
+    """Totals after a log of changes whose first part comes a second time at the end."""
+    folder = f"{shared_dir(c.spark)}/changes-{uuid.uuid4().hex}"
+    come, later = _changes(c)
+    for part in (come, later, come.where("item_id % 2 = 0")):
+        part.write.mode("append").parquet(folder)
+    live = jobs.read_files(c.spark, folder, "*.parquet")
+    try:
+        return jobs.finished(changes.order_totals(live), "update", lambda r: jobs.latest(r, ["order_id"]))
+    finally:
+        jobs.remove(c.spark, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tavola.functions.formatting import as_text
 from tavola.operators.listing import browse
@@ -70,8 +70,8 @@ _SECTION = rf"(?ms)(?:^{_NUMBER}|\A(?!{_NUMBER})).*?(?=^{_NUMBER}|\z)"
 def _statement(lines: Column) -> Column:
     """From the last line that starts a statement to the end, joined by blanks."""
     starts = F.filter(
-        F.sequence(F.lit(1), F.size(lines)),
-        lambda i: F.element_at(lines, i).rlike(rf"(?i)^({STARTERS})"),
+        F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))),
+        lambda i: F.try_element_at(lines, i).rlike(rf"(?i)^({STARTERS})"),
     )
     first = F.array_max(starts)
     return F.when(first.isNotNull(), F.array_join(F.slice(lines, first, F.size(lines)), " "))
@@ -95,12 +95,12 @@ def statements_of(df: DataFrame, column: str = "value") -> DataFrame:
     """
     section = F.regexp_extract_all(column, F.lit(_SECTION), F.lit(0))
     others = [c for c in df.columns if c != column]
-    titled = F.element_at("sections", 1).rlike(rf"\A{_NUMBER}")
+    titled = F.try_element_at("sections", F.lit(1)).rlike(rf"\A{_NUMBER}")
     rows = df.select(*others, section.alias("sections")).select(*others, titled.cast("int").alias("first"), F.posexplode("sections").alias("section", "body"))
     trimmed = F.transform(F.split("body", r"\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     lines = F.filter(trimmed, lambda x: x != "")
     rows = rows.select(*others, (F.col("section") + F.col("first")).alias("section"), lines.alias("lines")).where(F.size("lines") > 0)
-    head = F.regexp_replace(F.element_at("lines", 1), r"^\d+[.)]\s*", "")
+    head = F.regexp_replace(F.try_element_at("lines", F.lit(1)), r"^\d+[.)]\s*", "")
     rows = rows.select(
         *others,
         "section",
@@ -113,3 +113,27 @@ def statements_of(df: DataFrame, column: str = "value") -> DataFrame:
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
     return statements_of(spark.read.text(path, wholetext=True))
+
+
+def read_statements_split(spark: SparkSession, path: str) -> DataFrame:
+    """(file, section, description, part, sql) of files that many tasks share.
+
+    Spark reads byte ranges of lines. Numbered lines are counted per range, and the counts of a file's
+    earlier ranges give every line its section; only a section's lines come together in one row.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+        F.col("value").rlike(rf"^\s*{_NUMBER}").cast("int").alias("numbered"),
+    )
+    in_range = W.partitionBy("file", "start").orderBy("place")
+    counted = lines.withColumn("running", F.sum("numbered").over(in_range.rowsBetween(W.unboundedPreceding, 0)))
+    earlier = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    ranges = counted.groupBy("file", "start").agg(F.max("running").alias("n"))
+    before = ranges.select("file", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = counted.join(before, ["file", "start"]).withColumn("section", F.col("before") + F.col("running"))
+    bodies = placed.groupBy("file", "section").agg(F.sort_array(F.collect_list(F.struct("start", "place", "value"))).alias("l"))
+    texts = bodies.select("file", F.col("section").alias("number"), F.array_join("l.value", "\n").alias("value"))
+    return statements_of(texts).select("file", F.col("number").alias("section"), "description", "part", "sql")
