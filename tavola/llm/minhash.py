@@ -10,14 +10,15 @@
    compared in batches; a candidate is dropped as soon as the posterior probability (uniform prior) that
    its similarity reaches the threshold falls below `MISS`. The rest are verified on the
    whole sets. Links give components.
-4. Buckets whose members ended up in several components are looked at again: each member
-   outside the bucket's largest component meets every member of another component. They
-   meet in blocks of signatures, which return the pairs that survive the batches and no
-   others. Of those, the most similar ones of a member and a component are verified first, and the rest
-   only where that did not join the two. In buckets over `SPLIT` members, only nodes that
+4. Buckets whose members ended up in several components are looked at again. Buckets with members in
+   common are one crowd, so that a pair meets once and not once a band: each member outside the
+   crowd's largest component meets every member of another component. They meet in blocks of
+   signatures, which return the members of surviving pairs, and then, with the whole sets of
+   these, in blocks that verify the pairs and return no more than a forest of links.
+   In crowds over `SPLIT` members, only nodes that
    share one of their rarest shingles meet (two sets with similarity 0.75 must share one of the
    rarest quarter), so a passage that very many documents have does not bring them together.
-   No link is lost to a group's size, and no group is paired with itself.
+   No link between components is lost to a group's size, and no pair leaves its task.
 
 Defined results: null texts and texts without words have an empty set and link with
 nothing; rows with equal doc_id are one node; rows with null doc_id link with
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tavola.llm.components import components
-from tavola.session import cut
+from tavola.session import cut, store
 
 WORDS = 5
 HASHES, BAND = 128, 4
@@ -48,10 +49,9 @@ NUMERATOR, DENOMINATOR = 75, 100
 BATCH = 32
 MISS = 1e-6
 SPLIT = 4096
-#: Nodes of a bucket that are compared as one block.
-BLOCK = 64
-#: Pairs of a member and a component that are verified first.
-FIRST = 4
+#: Nodes of a crowd that are compared as one block of signatures, and bytes of a block with sets.
+BLOCK = 512
+BLOCK_BYTES = 4 << 20
 #: So many ids (8 MB) are sent to the texts; more are joined with a shuffle.
 SENT_IDS = 1_000_000
 #: Distinct words whose hashes a Python worker keeps.
@@ -190,50 +190,116 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.groupBy("id", F.col("_s.key").alias("key")).agg(F.first("_s.members").alias("members")).drop("key")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("a", "long").add("b", "long").add("ca", "long").add("matches", "integer")))
-def meeting(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """Surviving pairs of two blocks: b from the first one's members outside the largest component, a from the second."""
+def survivors(b: pd.DataFrame, a: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (in b, in a) and equal hashes of the pairs of different components that pass the sizes and every batch."""
     least = least_matches()
-    for largest, ids, sizes, parts, prints, other_ids, other_sizes, other_parts, other_prints in batches:
-        found = []
-        for row in zip(largest, ids, sizes, parts, prints, other_ids, other_sizes, other_parts, other_prints):
-            most, ib, nb, cb, pb, ia, na, ca, pa = row
-            nb, na, cb, ca = (np.asarray(v) for v in (nb, na, cb, ca))
-            x = np.frombuffer(b"".join(pb), "<u4").reshape(-1, HASHES)
-            y = np.frombuffer(b"".join(pa), "<u4").reshape(-1, HASHES)
-            near = np.minimum(nb[:, None], na[None, :]) * DENOMINATOR >= np.maximum(nb[:, None], na[None, :]) * NUMERATOR
-            u, v = np.nonzero((cb != most)[:, None] & (cb[:, None] != ca[None, :]) & near)
-            matches = np.zeros(len(u), np.int32)
-            for i, m in enumerate(least):
-                cols = slice(i * BATCH, (i + 1) * BATCH)
-                matches += (x[u, cols] == y[v, cols]).sum(1, dtype=np.int32)
-                alive = matches >= m
-                u, v, matches = u[alive], v[alive], matches[alive]
-            found.append([{"a": int(ia[j]), "b": int(ib[i]), "ca": int(ca[j]), "matches": int(k)} for i, j, k in zip(u, v, matches)])
-        yield pd.Series(found)
-
-
-def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Surviving pairs (a, b, ca, matches) of members (key, id, component) of one key and different
-    components; b runs over the members outside the key's largest component."""
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("size")
+    x, y = (np.frombuffer(b"".join(f["signature"]), "<u4").reshape(-1, HASHES) for f in (b, a))
+    nb, na, cb, ca = b["n"].to_numpy(), a["n"].to_numpy(), b["component"].to_numpy(), a["component"].to_numpy()
+    found = []
+    for start in range(0, len(b), 64):
+        rows = slice(start, start + 64)
+        near = np.minimum(nb[rows, None], na[None]) * DENOMINATOR >= np.maximum(nb[rows, None], na[None]) * NUMERATOR
+        u, v = np.nonzero((cb[rows, None] != ca[None]) & near)
+        u += start
+        matches = np.zeros(len(u), np.int32)
+        for i, m in enumerate(least):
+            cols = slice(i * BATCH, (i + 1) * BATCH)
+            matches += (x[u, cols] == y[v, cols]).sum(1, dtype=np.int32)
+            alive = matches >= m
+            u, v, matches = u[alive], v[alive], matches[alive]
+        found.append((u, v, matches))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return tuple(rows[rows["outside"] == side].sort_values("id", ignore_index=True) for side in (True, False))
+
+
+def _flagged(rows: pd.DataFrame) -> pd.DataFrame:
+    """Members of two blocks that are in a surviving pair."""
+    b, a = _sides(rows)
+    if not len(a) or not len(b):
+        return pd.DataFrame({"id": np.zeros(0, np.int64)})
+    u, v, _ = survivors(b, a)
+    return pd.DataFrame({"id": np.unique(np.concatenate([b["id"].to_numpy()[u], a["id"].to_numpy()[v]]))})
+
+
+def _forest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of two blocks that join components: surviving pairs are verified on whole sets, the most
+    similar first, unless their components are joined already."""
+    b, a = _sides(rows)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = c = root.get(root[c], root[c])
+        return c
+
+    links = []
+    if len(a) and len(b):
+        u, v, matches = survivors(b, a)
+        sets_b, sets_a = ([np.frombuffer(m, np.uint64) for m in f["members"]] for f in (b, a))
+        cb, ca, ib, ia = (f[c].tolist() for f, c in ((b, "component"), (a, "component"), (b, "id"), (a, "id")))
+        for k in np.argsort(-matches, kind="stable"):
+            i, j = u[k], v[k]
+            one, two = find(cb[i]), find(ca[j])
+            if one == two:
+                continue
+            both = len(np.intersect1d(sets_b[i], sets_a[j], assume_unique=True))
+            if DENOMINATOR * both >= NUMERATOR * (len(sets_b[i]) + len(sets_a[j]) - both):
+                root[one] = two
+                links.append((ia[j], ib[i]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
+def crowds(members: DataFrame) -> DataFrame:
+    """(crowd, id, component): members (key, id, component) of keys that have members in common are one crowd."""
+    center = members.groupBy("key").agg(F.min("id").alias("center"))
+    links = members.select("key", "id").join(center, "key").select("center", "id").distinct()
+    named = components(links, "center", "id").select(F.col("node").alias("id"), F.col("component").alias("crowd"))
+    return store(members.select("id", "component").distinct().join(named, "id"), "crowds")
+
+
+def blocks(members: DataFrame, limit: int) -> DataFrame:
+    """Members (crowd, id, component, weight, ...) once for every pair of blocks they are in.
+
+    The first block of a pair holds members outside the crowd's largest component (`outside`), the second
+    any. Blocks hold about `limit` of weight, so a task's memory is bounded, whatever the crowd's size.
+    """
+    parts = members.groupBy("crowd", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    whole = parts.groupBy("crowd").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"),
+        F.max_by("w", F.struct("n", "component")).alias("w_largest"),
+        F.sum("w").alias("w"),
+        F.count("*").alias("parts"),
+    )
+    whole = whole.where("parts > 1").select(
+        "crowd",
+        "largest",
+        F.ceil(F.greatest(F.col("w") - F.col("w_largest"), F.lit(1)) / limit).alias("firsts"),
+        F.ceil(F.col("w") / limit).alias("seconds"),
     )
-    mixed = members.join(largest.where("parts > 1"), "key").join(nodes.select("id", F.col("n").alias("set_size"), "signature"), "id")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block")
-    packed = mixed.groupBy("key", "largest", block).agg(
-        F.sort_array(F.collect_list(F.struct("id", "set_size", "component", "signature"))).alias("m"),
-        F.bool_or(F.col("component") != F.col("largest")).alias("outside"),
+    placed = members.join(whole, "crowd")
+    h = F.xxhash64("id")
+    second = placed.select(
+        "*", F.lit(False).alias("outside"), F.pmod(h, "seconds").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("firsts") - 1)).alias("i")
     )
-    packed = cut(packed)
-    fields = ("id", "set_size", "component", "signature")
-    left = packed.where("outside").select("key", "largest", *[F.col(f"m.{f}").alias(f"b_{f}") for f in fields])
-    right = packed.select("key", *[F.col(f"m.{f}").alias(f"a_{f}") for f in fields])
-    met = left.join(right, "key").select(
-        F.explode(meeting.asNondeterministic()("largest", *[f"b_{f}" for f in fields], *[f"a_{f}" for f in fields])).alias("p")
+    first = placed.where("component != largest").select(
+        "*", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seconds") - 1)).alias("j"), F.pmod(h, "firsts").alias("i")
     )
-    return met.groupBy("p.a", "p.b", "p.ca").agg(F.max("p.matches").alias("matches"))
+    return first.unionByName(second).drop("largest", "firsts", "seconds", "weight")
+
+
+def joining(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of crowds (crowd, id, component); no pair leaves its blocks."""
+    known = members.join(nodes.select("id", "n", "signature"), "id")
+    met = blocks(known.withColumn("weight", F.lit(1)), BLOCK).groupBy("crowd", "i", "j").applyInPandas(_flagged, "id long")
+    flagged = store(met.distinct(), "flagged")
+    if flagged.isEmpty():
+        return flagged.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sets = store(sets_of(docs, flagged), "sets")
+    heavy = known.join(sets, "id").withColumn("weight", F.length("members") + 600)
+    return store(blocks(heavy, BLOCK_BYTES).groupBy("crowd", "i", "j").applyInPandas(_forest, "a long, b long").distinct(), "links")
 
 
 def merged(links: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -288,20 +354,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "key", "id", "size", F.coalesce("component", "id").alias("component")
     )
     split = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    members = cut(members.join(split, "key"))
-    rest = across(members.where(F.col("size") <= SPLIT).select("key", "id", "component"), nodes)
-    crowded = members.where(F.col("size") > SPLIT)
-    if not crowded.isEmpty():
-        rest = rest.union(across(cut(rarest(crowded, docs)), nodes)).distinct()
-    rest = cut(rest)
-    if not rest.isEmpty():
-        likely = F.row_number().over(Window.partitionBy("b", "ca").orderBy(F.desc("matches"), "a")) <= FIRST
-        first = rest.withColumn("likely", likely).where("likely").select("a", "b")
-        label = merged(verified(first, nodes, docs), label, nodes)
-        ends = [label.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")) for c in "ab"]
-        apart = cut(rest.join(ends[0], "a").join(ends[1], "b").where("now_a != now_b").select("a", "b"))
-        if not apart.isEmpty():
-            label = merged(verified(apart, nodes, docs), label, nodes)
+    members = crowds(members.join(split, "key").select("key", "id", "component"))
+    sizes = members.groupBy("crowd").agg(F.count("*").alias("size"))
+    large = members.join(sizes.where(F.col("size") > SPLIT), "crowd").select("id", "component")
+    small = members.join(sizes.where(F.col("size") <= SPLIT), "crowd").drop("size")
+    links = joining(small, nodes, docs)
+    if not large.isEmpty():
+        links = links.union(joining(crowds(rarest(large, docs)), nodes, docs))
+    if not links.isEmpty():
+        label = merged(links, label, nodes)
 
     group = nodes.join(label, nodes["id"] == label["node"], "left").select("key", F.coalesce("component", "id").alias("component"))
     found = prints.select("id", "key", "n").join(group, "key", "left")

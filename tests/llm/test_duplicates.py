@@ -216,3 +216,26 @@ def test_fewer_candidates_than_asked(spark):
     got = nndescent.nearest(df).where("query_id = 20").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [80, 60, 40, 0]
     assert nndescent.nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("split", [4096, 20])
+def test_crowd_around_the_threshold(spark, monkeypatch, split):
+    """A crowd whose members lie around the threshold to each other, in many small blocks."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    base = [rng.choice(words) for _ in range(90)]
+    made = []
+    for n in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(90)] = rng.choice(words)
+        made.append((n, " ".join(copy)))
+    sets = {i: shingles(t) for i, t in made}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = smallest(sets, links)
+    assert 3 < len(set(want.values())) < 140
+    monkeypatch.setattr(minhash, "SPLIT", split)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 20_000)
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == want
