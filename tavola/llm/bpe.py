@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.llm.naming import free
+
 #: Words up to this many parts are merged by scanning, longer ones with a heap.
 SHORT = 48
 #: Distinct words, with the marks around them, whose ids a Python worker keeps.
@@ -195,5 +197,6 @@ def bpe_column(df: DataFrame, text: Column, path: str) -> Column:
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """`df` with `ids`, `n_tokens` and `decoded` of its text column."""
-    made = df.withColumn("_bpe", bpe_column(df, F.col(text), path))
-    return made.withColumns({c: F.col(f"_bpe.{c}") for c in ("ids", "n_tokens", "decoded")}).drop("_bpe")
+    (name,) = free(df, "_bpe")
+    made = df.withColumn(name, bpe_column(df, F.col(text), path))
+    return made.withColumns({c: F.col(name)[c] for c in ("ids", "n_tokens", "decoded")}).drop(name)

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.llm.naming import free
+
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 DIMENSION = 16
@@ -214,5 +216,6 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
             names, score, rejected = shared.value.predict(list(texts))
             yield pd.DataFrame({"lang_pred": names, "score": score, "rejected": rejected})
 
-    made = df.withColumn("_lang", predicted.asNondeterministic()(F.col(text)))
-    return made.withColumns({c: F.col(f"_lang.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_lang")
+    (made_name,) = free(df, "_lang")
+    made = df.withColumn(made_name, predicted.asNondeterministic()(F.col(text)))
+    return made.withColumns({c: F.col(made_name)[c] for c in ("lang_pred", "score", "rejected")}).drop(made_name)

@@ -55,7 +55,7 @@ BLOCK_BYTES = 4 << 20
 #: So many ids (8 MB) are sent to the texts; more are joined with a shuffle.
 SENT_IDS = 1_000_000
 #: Distinct words whose hashes a Python worker keeps.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 _rng = np.random.default_rng(2)
 _MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

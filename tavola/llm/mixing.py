@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tavola.llm.naming import free
 from tavola.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,7 +84,11 @@ def leaf_budgets(
     leaves: DataFrame, levels: list[str], weights: list[dict[str, int]], share: tuple[int, int], max_epochs: int
 ) -> DataFrame:
     """Leaves with `_tokens` get `_budget`; the root has `share` (numerator, denominator) of all tokens."""
-    leaves = leaves.withColumn("_cap", F.col("_tokens") * max_epochs)
+    # A leaf that any level excludes is no capacity of its ancestors either.
+    used = F.lit(True)
+    for level, known in zip(levels, weights):
+        used = used & (weight_of(F.col(level), known) > 0)
+    leaves = leaves.withColumn("_cap", F.when(used, F.col("_tokens") * max_epochs).otherwise(0))
     budgets = leaves.agg(F.expr(f"(sum(_tokens) * {share[0]}) div {share[1]}").alias("_budget"))
     found = None
     for depth, level in enumerate(levels):
@@ -154,9 +159,12 @@ def mix(
     leaves = cut(slim.groupBy(*names).agg(F.sum("_n").alias("_tokens")))
     count = leaves.count()
     ends = cut(prefix_ends(slim, leaf_budgets(leaves, names, weights, share, max_epochs), names, seed, count))
+    docs = docs.drop(*[c for c in docs.columns if c in [*names, "mix_epoch", "mix_tokens"] and c not in (doc_id, text)])
+    epochs, end = free(docs, "_epochs", "_end")
+    ends = ends.withColumnsRenamed({"_epochs": epochs, "_end": end})
     rows = docs.withColumns(marks | {"mix_tokens": word_count(text)}).join(sent(ends, count), names)
-    rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs"))))
-    inside = (F.col("mix_epoch") < F.col("_epochs")) | (epoch_order(seed, F.col("mix_epoch"), F.col(doc_id)) <= F.col("_end"))
+    rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col(epochs))))
+    inside = (F.col("mix_epoch") < F.col(epochs)) | (epoch_order(seed, F.col("mix_epoch"), F.col(doc_id)) <= F.col(end))
     full = F.col("mix_epoch") < max_epochs
     made = [*names, "mix_epoch", "mix_tokens"]
     return rows.where(full & inside).select(*[c for c in docs.columns if c not in made], *made)
@@ -166,17 +174,22 @@ def mix_sql(levels: dict[str, str], weights: list[dict[str, int]], share: tuple[
     """The same mix over `documents` in DuckDB's SQL; gives (doc_id, levels, epoch, tokens)."""
     names = [f"mix_{n}" for n in levels]
     keys = ", ".join(names)
+    def weight_sql(depth: int) -> str:
+        cases = " ".join(f"WHEN {names[depth]} = '{k}' THEN {w}" for k, w in weights[depth].items())
+        return f"CASE {cases} ELSE 1 END" if cases else "1"
+
+    used = " AND ".join(f"{weight_sql(d)} > 0" for d in range(len(names)))
     ctes = [
         "slim AS (SELECT doc_id, "
         + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS mix_{n}" for n, c in levels.items())
         + f", coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS n FROM documents)",
-        f"leaves AS (SELECT {keys}, sum(n)::HUGEINT AS tokens, (sum(n) * {max_epochs})::HUGEINT AS cap FROM slim GROUP BY ALL)",
+        f"leaves AS (SELECT {keys}, sum(n)::HUGEINT AS tokens, (sum(CASE WHEN {used} THEN n ELSE 0 END) * {max_epochs})::HUGEINT AS cap FROM slim GROUP BY ALL)",
         f"b0 AS (SELECT (sum(tokens) * {share[0]}) // {share[1]} AS budget FROM leaves)",
     ]
     for depth, name in enumerate(names):
         own, parent = names[: depth + 1], names[:depth]
         cols, above = ", ".join(own), ", ".join(parent)
-        weight = "CASE " + " ".join(f"WHEN {name} = '{k}' THEN {w}" for k, w in weights[depth].items()) + " ELSE 1 END" if weights[depth] else "1"
+        weight = weight_sql(depth)
         by = f"PARTITION BY {above} " if parent else ""
         source = f"b{depth}" + (f" USING ({above})" if parent else "")
         ctes += [

@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.llm.naming import free
+
 ROUNDS = 4
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"
@@ -43,10 +45,15 @@ CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 DATE = r"(?<![\d./\-])(?:\d{4}([./\-])\d{1,2}\1\d{1,2}|\d{1,2}([./\-])\d{1,2}\2\d{4})(?![\d/]|[.\-]\d)"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=(?i:password|token|secret)\s?[=:]\s?[\"']?)[A-Za-z0-9]{16,}"
+SECRET = (
+    r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])(?:gh[oprsu]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{20,})"
+    r"|(?<=(?i:password|passwd|token|secret|api[_\-]?key)[\"']?\s?[=:]\s?[\"']?)[A-Za-z0-9_+/.\-]{15,}[A-Za-z0-9_+/\-]=?=?"
+    r"|(?<=(?i:bearer)\s)[A-Za-z0-9_+/.\-]{15,}[A-Za-z0-9_+/\-]=?=?"
+)
 
 #: A digit, `@` or the start of a secret: no pattern matches a text without.
-HINT = r"[0-9@]|AKIA|(?i:password|token|secret)"
+HINT = r"[0-9@]|AKIA|gh[oprsu]_|sk-|(?i:password|passwd|token|secret|api[_\-]?key|bearer)"
 ALL = "|".join((EMAIL, SECRET, SSN, CARD, PHONE, IBAN, IP, DATE))
 
 #: Days of 400 years are 189 times 773.
@@ -230,8 +237,15 @@ def _date(x: Column, key: str) -> Column:
 
 
 def _email(x: Column, key: str) -> Column:
+    # Addresses that differ in case only are one.
     last = F.regexp_extract(x, r"\.[A-Za-z]+$", 0)
-    return F.concat(feistel_text(F.substring(x, F.lit(1), F.length(x) - F.length(last)), key, "email"), last)
+    return F.concat(feistel_text(F.lower(F.substring(x, F.lit(1), F.length(x) - F.length(last))), key, "email"), F.lower(last))
+
+
+def _marked(x: Column, key: str) -> Column:
+    """A secret that keeps the mark of its kind."""
+    mark = F.regexp_extract(x, "^(gh[oprsu]_|sk-)", 0)
+    return F.concat(mark, feistel_text(F.substring(x, F.length(mark) + 1, F.length(x)), key, "secret"))
 
 
 def pseudonym(x: Column, key: str) -> Column:
@@ -245,6 +259,7 @@ def pseudonym(x: Column, key: str) -> Column:
         .when(x.startswith("+") | x.rlike(r"^[(]?\d{3}[) .\-]"), _phone(x, key))
         .when(x.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), _iban(x, key))
         .when(x.startswith("AKIA"), F.concat(F.lit("AKIA"), feistel_text(F.substring(x, F.lit(5), F.length(x)), key, "secret")))
+        .when(x.rlike("^(gh[oprsu]_|sk-)"), _marked(x, key))
         .otherwise(feistel_text(x, key, "secret"))
     )
 
@@ -268,4 +283,5 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str = "n_re
     made = F.when(t.rlike(HINT), _let(F.regexp_extract_all(t, F.lit(ALL), 0), rebuilt)).otherwise(
         F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))
     )
-    return df.withColumn("_pii", made).withColumns({text: F.col("_pii.text"), found: F.col("_pii.n")}).drop("_pii")
+    (name,) = free(df, "_pii")
+    return df.withColumn(name, made).withColumns({text: F.col(name)["text"], found: F.col(name)["n"]}).drop(name)

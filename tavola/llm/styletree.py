@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.llm.naming import free
+
 #: Weight of content entropy; presentation has the rest.
 CONTENT = 0.9
 #: Importance below which a branch goes.
@@ -286,7 +288,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
         for htmls, branches in batches:
             yield pd.Series([main_text(parse(h), frozenset(() if b is None else b)) for h, b in zip(htmls, branches)], dtype=object)
 
-    low = branches_of_pages(pages, url, html).select(F.col("host").alias("_host"), F.col("page").alias("_page"), F.col("branches").alias("_branches"))
-    made = pages.withColumns({"_host": _host_key(url), "_page": F.xxhash64(html)}).join(low, ["_host", "_page"], "left")
-    made = made.withColumn("_text", extracted.asNondeterministic()(html, "_branches"))
-    return made.withColumns({text: F.col("_text"), n_chars: F.length("_text").cast("long")}).drop("_host", "_page", "_branches", "_text")
+    host, page, branches, found = free(pages, "_host", "_page", "_branches", "_text")
+    low = branches_of_pages(pages, url, html).select(F.col("host").alias(host), F.col("page").alias(page), F.col("branches").alias(branches))
+    made = pages.withColumns({host: _host_key(url), page: F.xxhash64(html)}).join(low, [host, page], "left")
+    made = made.withColumn(found, extracted.asNondeterministic()(html, branches))
+    return made.withColumns({text: F.col(found), n_chars: F.length(found).cast("long")}).drop(host, page, branches, found)

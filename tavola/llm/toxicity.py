@@ -53,7 +53,7 @@ ROUNDS = 3
 HARD_UNITS = 20_000
 #: Total weight of clean units where toxic ones have 1.
 CLEAN_WEIGHT = 10.0
-KEPT = 400_000
+KEPT = 150_000
 BATCH = 1024
 
 _APART = re.compile(r"(?<!\S)\w(?:[ .\-_*]+\w(?!\w)){2,}")
@@ -344,6 +344,10 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", result: str =
                     if len(kept) > KEPT:
                         kept.clear()
             out += own.scores(run, kept) if run else []
+            if len(kept) > KEPT:
+                kept.clear()
             yield pd.Series(out, dtype="float64")
+        # A Python worker lives on for other stages, which need the memory.
+        _CACHE.clear()
 
     return df.withColumn(result, scored.asNondeterministic()(F.col(text)))

@@ -54,3 +54,46 @@ def test_mix_of_nothing(spark):
     clash = docs(spark).withColumn("mix_tokens", F.lit("old"))
     made = mixing.mix(clash, {"s": F.col("source")}, [{}], share=(9, 1), max_epochs=1)
     assert made.count() == clash.count() and made.columns.count("mix_tokens") == 1 and made.schema["mix_tokens"].dataType.typeName() == "long"
+
+
+def test_excluded_leaves_are_no_capacity(spark, tmp_path):
+    """Weight 0 at the lower level: what is asked for is given, in the operator and in the SQL."""
+    leaves = [("a", "x", 100), ("a", "y", 100), ("b", "x", 300), ("b", "y", 300)]
+    assert budgets(spark, leaves, [{}, {"y": 0}], (1, 2)) == {("a", "x"): 100, ("a", "y"): 0, ("b", "x"): 300, ("b", "y"): 0}
+    made = [(f"{d}{l}{n}", "w", l, d) for d, l, k in leaves for n in range(k)]
+    df = spark.createDataFrame(made, "doc_id string, text string, lang string, source string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    got = mixing.mix(df, {"s": F.col("source"), "l": F.col("lang")}, [{}, {"y": 0}], (1, 2), 1)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    sql = mixing.mix_sql({"s": "source", "l": "lang"}, [{}, {"y": 0}], (1, 2), 1, 1)
+    assert got.count() == len(con.execute(sql).fetchall()) == 400
+
+
+def budgets_by_hand(leaves, weights, total, epochs):
+    """The tree filled by halving steps of one token: each token goes to the child with least use per weight."""
+    def cap(path):
+        return sum(t * epochs for *p, t in leaves if tuple(p[: len(path)]) == path and all(w.get(k, 1) for w, k in zip(weights, p)))
+
+    def fill(path, budget):
+        if len(path) == len(weights):
+            return {path: budget}
+        names = sorted({p[len(path)] for *p, _ in leaves if tuple(p[: len(path)]) == path})
+        used = dict.fromkeys(names, 0)
+        for _ in range(budget):
+            open_ = [n for n in names if used[n] < cap((*path, n))]
+            if not open_:
+                break
+            best = min(open_, key=lambda n: (used[n] / weights[len(path)].get(n, 1), n))
+            used[best] += 1
+        return {k: v for n in names for k, v in fill((*path, n), used[n]).items()}
+
+    return fill((), total)
+
+
+def test_budgets_of_two_levels_equal_brute_force(spark):
+    leaves = [("a", "x", 10), ("a", "y", 40), ("a", "z", 9), ("b", "x", 70), ("b", "z", 30), ("c", "y", 25)]
+    for weights in ([{"a": 3}, {"x": 2}], [{"b": 0}, {"z": 0}], [{"c": 5}, {"y": 0, "x": 4}]):
+        total = sum(t for *_, t in leaves) // 2
+        got, want = budgets(spark, leaves, weights, (1, 2)), budgets_by_hand(leaves, weights, total, 1)
+        assert all(abs(got[k] - want[k]) <= 2 for k in want), (weights, got, want)
