@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tavola.operators import clustering, forecast, reports as rep
+from tavola.operators import clustering, forecast, reports as rep, seasonal
 from tavola.plans.registry import query
 from tavola.plans.reports import CATEGORY_SALES, DAILY
 
@@ -115,3 +115,22 @@ def _(c):
     columns = ["avg_price", "total_qty", "revenue"]
     sales = rep.category_sales(c.items, c.orders_by_key, c.dishes)
     return _facts(clustering.cluster(sales, columns), columns)
+
+
+@query("o72_seasonal_forecast")
+def _(c):
+    demand = rep.daily_demand(c.items, c.orders_by_key, c.dishes)
+    return seasonal.forecast(demand).withColumn("yhat", F.round("yhat", 5))
+
+
+@query(
+    "o72_seasonal_days",
+    f"""WITH d AS ({DAILY}), l AS (SELECT dish, max(day) AS last_day FROM d GROUP BY 1 HAVING min(day) < max(day))
+        SELECT dish, strftime(CAST(last_day + CAST(n AS INT) AS DATE), '%Y-%m-%d') AS day, true AS finite
+        FROM l, (SELECT unnest(range(1, 8)) AS n)""",
+)
+def _(c):
+    """Every series with two days has its seven days, each with a number."""
+    demand = rep.daily_demand(c.items, c.orders_by_key, c.dishes)
+    known = F.col("yhat").isNotNull() & ~F.isnan("yhat") & (F.abs("yhat") < 1e9)
+    return seasonal.forecast(demand).select("dish", "day", known.alias("finite"))
