@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tavola.functions.predicates import only
-from tavola.operators import access, quality as q
+from tavola.operators import access, policyviews, quality as q
 from tavola.operators.reports import orders_by_status
 from tavola.plans.registry import query
+from tavola.session import cut
 from tavola.sources.tables import SCHEMAS
 
 TABLES = sorted(SCHEMAS)
@@ -397,3 +398,37 @@ NAMED = {1: ["Customer#000000001", "Customer#000000004"], 2: ["Customer#00000000
 )
 def _(c):
     return q.assign_by_name(c.employees, "full_name", NAMED)
+
+
+VIEW_ROLES = ("admin", "analyst", "manager", "waiter", "cook", "nobody")
+
+
+@query(
+    "o120_policy_views",
+    "WITH i AS (SELECT o.restaurant_id, count(*) AS n FROM d_items i JOIN d_orders o ON o.id = i.order_id GROUP BY 1), "
+    "f AS (SELECT o.restaurant_id, count(*) AS n FROM d_feedbacks f JOIN d_orders o ON o.id = f.order_id GROUP BY 1) "
+    + " UNION ALL ".join(
+        f"SELECT '{role}' AS role, CAST(COALESCE((SELECT SUM(n) FROM i{w_items}), 0) AS BIGINT) AS items,"
+        f" CAST(COALESCE((SELECT SUM(n) FROM f{w_feed}), 0) AS BIGINT) AS feedbacks,"
+        f" (SELECT count(*) FROM d_orders{w_orders}) AS orders"
+        for role, w_items, w_feed, w_orders in [
+            *[(r, "", "", "") for r in ("admin", "analyst")],
+            ("manager", *[" WHERE restaurant_id = 3"] * 3),
+            *[(r, " WHERE restaurant_id = 3", " WHERE false", " WHERE restaurant_id = 3") for r in ("waiter", "cook")],
+            ("nobody", *[" WHERE false"] * 3),
+        ]
+    ),
+)
+def _(c):
+    """The same statement over the views, for one viewer after the other."""
+    policyviews.define(c.spark, {"orders": c.orders, "order_items": c.items, "feedbacks": c.feedbacks})
+    seen = None
+    for role in VIEW_ROLES:
+        policyviews.become(c.spark, role, 3)
+        rows = cut(c.spark.sql(
+            f"""SELECT '{role}' AS role, (SELECT count(*) FROM visible_order_items) AS items,
+                       (SELECT count(*) FROM visible_feedbacks) AS feedbacks, (SELECT count(*) FROM visible_orders) AS orders"""
+        ))
+        seen = rows if seen is None else seen.unionByName(rows)
+    policyviews.become(c.spark, None)
+    return seen
