@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tavola.functions.predicates import only
-from tavola.operators import access, policyviews, quality as q
+from tavola.operators import access, payloads, policyviews, quality as q
 from tavola.operators.reports import orders_by_status
 from tavola.plans.registry import query
 from tavola.session import cut
@@ -432,3 +432,34 @@ def _(c):
         seen = rows if seen is None else seen.unionByName(rows)
     policyviews.become(c.spark, None)
     return seen
+
+
+PAYLOAD = {"id": "bigint", "guest.name": "string", "guest.seats": "int", "place.at": "bigint"}
+
+
+@query(
+    "o116_nested_payloads",
+    """SELECT o_orderkey AS id,
+              CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'guest ' || o_custkey END AS guest_name,
+              CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey % 9 AS BIGINT) END AS guest_seats,
+              CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 25 END AS place_at,
+              CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'guest.note' END
+                  || CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ',' END || 'remark' ELSE '' END AS unknown,
+              CASE WHEN o_orderkey % 5 = 0 THEN 'guest' WHEN o_orderkey % 3 = 0 THEN 'guest.seats' ELSE '' END AS ill
+       FROM orders""",
+)
+def _(c):
+    """Orders as nested payloads: some guests are no object, some seats no number, some fields not declared."""
+    k, text = F.col("o_orderkey"), lambda column: F.col(column).cast("string")
+    seats = F.when(k % 3 == 0, F.lit('"few"')).otherwise((F.col("o_custkey") % 9).cast("string"))
+    guest = F.concat(F.lit('{"name":"guest '), text("o_custkey"), F.lit('","note":[1],"seats":'), seats, F.lit("}"))
+    body = F.concat(
+        F.lit('{"id":'), text("o_orderkey"), F.lit(',"guest":'), F.when(k % 5 == 0, F.lit("17")).otherwise(guest),
+        F.when(k % 7 == 0, F.lit(',"place":{"at":null}')).otherwise(F.concat(F.lit(',"place":{"at":'), (k % 25).cast("string"), F.lit("}"))),
+        F.when(k % 2 == 0, F.lit(',"remark":"x"')).otherwise(""),
+        F.lit("}"),
+    )
+    made = payloads.typed_payload(c.raw("orders").select(body.alias("body")), "body", PAYLOAD)
+    return made.select(
+        "id", "guest_name", "guest_seats", "place_at", F.array_join("unknown_paths", ",").alias("unknown"), F.array_join("ill_typed", ",").alias("ill")
+    )
