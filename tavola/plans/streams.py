@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tavola.plans.guard import LOG, SCAN
+from tavola.operators import access
 from tavola.plans.registry import query
-from tavola.session import shared_dir
+from tavola.plans.rules import VIEWERS, viewers
+from tavola.session import cut, shared_dir
 from tavola.sources.chain import Chain
 from tavola.streaming import changes, jobs
 
@@ -98,3 +100,24 @@ def _(c):
         return jobs.finished(changes.order_totals(live), "update", lambda r: jobs.latest(r, ["order_id"]))
     finally:
         jobs.remove(c.spark, folder)
+
+
+@query(
+    "o123_streamed_inserts",
+    f"""WITH v AS ({VIEWERS})
+        SELECT i.l_orderkey AS order_id, i.l_suppkey AS user_id,
+               COALESCE(v.role = 'admin' OR (v.role IN ('manager', 'waiter') AND v.restaurant_id = o.restaurant_id), false)
+               AS accepted
+        FROM lineitem i LEFT JOIN d_orders o ON o.id = i.l_orderkey LEFT JOIN v ON v.user_id = i.l_suppkey""",
+)
+def _(c):
+    """Proposed items as a stream, checked against the orders and accounts, accepted and rejected ones apart."""
+    live = StreamChain(c.spark, c.folder).raw("lineitem")
+    proposed = live.select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("user_id"))
+    folder = f"{shared_dir(c.spark)}/inserts-{uuid.uuid4().hex}"
+    who = viewers(c)
+    good, bad = jobs.run_guarded(proposed, lambda rows: access.check_item_inserts(rows, c.orders, who), folder, f"{folder}/state")
+    sides = [jobs.results(c.spark, f).drop("batch").withColumn("accepted", F.lit(flag)) for f, flag in ((good, True), (bad, False))]
+    result = cut(sides[0].unionByName(sides[1]))
+    jobs.remove(c.spark, folder)
+    return result

@@ -98,6 +98,31 @@ def run(
     return folder
 
 
+def run_guarded(
+    stream: DataFrame, check: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, flag: str = "accepted"
+) -> tuple[str, str]:
+    """Run a stream of proposals over the input that is there, with two sinks that share one checkpoint.
+
+    `check` adds `flag` to a micro-batch, for instance by joining tables as they are then. Rows where it holds
+    go to the first folder returned, all others to the second. A batch that failed between the two
+    is done again as a whole, and both of its folders are overwritten, so no row is in both or in neither.
+    """
+    good, bad = f"{folder}/{flag}", f"{folder}/rejected"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        checked = check(batch).persist()
+        try:
+            holds = F.coalesce(F.col(flag), F.lit(False))
+            checked.where(holds).drop(flag).write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
+            checked.where(~holds).drop(flag).write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
+        finally:
+            checked.unpersist()
+
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return good, bad
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     files, path = _path(spark, folder)
     files.delete(path, True)

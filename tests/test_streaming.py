@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from tavola.operators import guard, inventory, reports
+from tavola.operators import access, guard, inventory, reports
 from tavola.sources.chain import Chain
 from tavola.streaming import jobs
 from tests.conftest import rows
@@ -84,3 +85,28 @@ def test_live_load_equals_report(spark, data):
     c = Chain(spark, data)
     live = rows(reports.hourly_load(c.order_log, c.restaurants, states=None).agg(F.sum("order_count")))
     assert live == [(c.order_log.count(),)]
+
+
+def test_guarded_inserts_survive_a_failure_between_the_sinks(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    orders = spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, restaurant_id int")
+    viewers = spark.createDataFrame([(1, "waiter", 1), (2, "admin", None), (3, "cook", 1)], "user_id long, role string, restaurant_id int")
+    made = [(o, u) for o in range(25) for u in (1, 2, 3, 4)]
+    spark.createDataFrame(made[:60], "order_id long, user_id long").repartition(2).write.parquet(folder)
+    stream = jobs.read_files(spark, folder, "*.parquet")
+
+    def check(rows_):
+        return access.check_item_inserts(rows_, orders, viewers)
+
+    def broken(rows_):
+        # The first sink reads no rejected row, so it is written; the second one fails.
+        return check(rows_).withColumn("user_id", F.when(F.col("accepted"), F.col("user_id")).otherwise(F.raise_error(F.lit("down"))))
+
+    with pytest.raises(Exception, match="down"):
+        jobs.run_guarded(stream, broken, out, state)
+    jobs.run_guarded(stream, check, out, state)
+    spark.createDataFrame(made[60:], "order_id long, user_id long").write.mode("append").parquet(folder)
+    good, bad = jobs.run_guarded(jobs.read_files(spark, folder, "*.parquet"), check, out, state)
+    want = check(spark.createDataFrame(made, "order_id long, user_id long"))
+    assert rows(jobs.results(spark, good).drop("batch")) == rows(want.where("accepted").drop("accepted"))
+    assert rows(jobs.results(spark, bad).drop("batch")) == rows(want.where("NOT accepted").drop("accepted"))
