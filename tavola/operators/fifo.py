@@ -15,8 +15,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tavola.operators.components import components
 from tavola.operators.running import running_total
-from tavola.session import cut
+from tavola.session import cut, store
 
 KEYS = ["restaurant_id", "ingredient_id"]
 AMOUNT = "decimal(28,4)"
@@ -183,15 +184,16 @@ def deplete(batches: DataFrame, needs: DataFrame, **size) -> DataFrame:
 def accepted_orders(batches: DataFrame, needs: DataFrame, width: int = 65536) -> DataFrame:
     """(order_id, accepted) when an order with any shortage is refused as a whole.
 
-    Orders are taken in order of `order_id`, and a refused one uses no stock; an order
-    belongs to one location. The number of jobs does not depend on the orders:
+    Orders are taken in order of `order_id`, and a refused one uses no stock, at any of its
+    locations. The number of jobs does not depend on the number of orders:
 
     1. A key whose needs fit its supply together binds no order.
-    2. Sums of buckets of `width` ids tell in which bucket a location's first key runs
-       out; the orders of all earlier buckets are accepted.
-    3. The keys of the rest are grouped by the orders that need several of them. An order lies
-       in one group, so groups are independent; each is walked once, in order, in a stream that
-       holds the quantities taken per key and the lines of one order.
+    2. The other keys are grouped by the orders that need several of them: first within each
+       location, then, where orders have several locations, across these. An order lies in one
+       group, so groups are independent.
+    3. Sums of buckets of `width` ids tell in which bucket a group's first key runs out; the
+       orders of all earlier buckets are accepted. The rest of a group is walked once, in order, in a
+       stream that holds the quantities taken per key and the lines of one order.
     """
     return _accepted(batches, _wanted(needs), width)
 
@@ -201,36 +203,45 @@ def _wanted(needs: DataFrame) -> DataFrame:
 
 
 def _accepted(batches: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    place, _ = KEYS
     supply = usable(batches).groupBy(*KEYS).agg(F.sum("qty").cast(AMOUNT).alias("supply"))
     have = F.coalesce("supply", F.lit(0)).cast(AMOUNT)
     total = wanted.groupBy(*KEYS).agg(F.sum("need").alias("total")).join(supply, KEYS, "left")
     binding = total.where(F.col("total") > have).select(*KEYS, have.alias("supply"))
-    lines = wanted.withColumn("_b", id_bucket("order_id", width)).join(binding, KEYS)
-    sums = lines.groupBy(*KEYS, "_b", "supply").agg(F.sum("need").alias("need"))
+    lines = _grouped(wanted.join(binding, KEYS)).withColumn("_b", id_bucket("order_id", width))
+    sums = lines.groupBy("group", *KEYS, "_b", "supply").agg(F.sum("need").alias("need"))
     so_far = F.sum("need").over(W.partitionBy(*KEYS).orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
     sums = cut(sums.withColumn("out", so_far > F.col("supply")))
-    first = sums.where("out").groupBy(place).agg(F.min("_b").alias("first"))
-    used = sums.join(first, place).where("_b < first").groupBy(*KEYS).agg(F.sum("need").alias("used"))
-    open_ = lines.join(first, place).where("_b >= first").join(used, KEYS, "left")
-    verdicts = _walked(open_.withColumn("room", F.col("supply") - F.coalesce("used", F.lit(0))))
+    first = sums.where("out").groupBy("group").agg(F.min("_b").alias("first"))
+    used = sums.join(first, "group").where("_b < first").groupBy(*KEYS).agg(F.sum("need").alias("used"))
+    open_ = lines.join(first, "group").where("_b >= first").join(used, KEYS, "left")
+    room = F.col("supply") - F.coalesce("used", F.lit(0))
+    units = [(v * 10_000).cast("decimal(38,0)").cast("bigint").alias(c) for c, v in (("need", F.col("need")), ("room", room))]
+    ordered = (
+        open_.select("group", "order_id", F.concat_ws(":", *KEYS).alias("key"), *units)
+        .repartition("group")
+        .sortWithinPartitions("group", "order_id")
+    )
+    verdicts = ordered.mapInArrow(_walk, f"order_id {wanted.schema['order_id'].dataType.simpleString()}, accepted boolean")
     orders = wanted.select("order_id").distinct().join(verdicts, "order_id", "left")
     return orders.select("order_id", F.coalesce("accepted", F.lit(True)).alias("accepted"))
 
 
-def _walked(lines: DataFrame) -> DataFrame:
-    """(order_id, accepted) of the orders in lines (keys, order_id, need, room)."""
+def _grouped(lines: DataFrame) -> DataFrame:
+    """Lines with `group`: keys that an order needs together, directly or over others, are in one."""
     place, key = KEYS
-    units = [(F.col(c) * 10_000).cast("decimal(38,0)").cast("bigint").alias(c) for c in ("need", "room")]
-    lines = lines.select(place, key, "order_id", *units)
     # A location's keys that share an order; as many rows as pairs of its keys, whatever the number of orders.
     spans = lines.groupBy(place, "order_id").agg(F.min(key).alias("low"), F.collect_set(key).alias("keys"))
     pairs = spans.select(place, "low", F.explode("keys").alias(key)).distinct()
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
     parts = pairs.groupBy(place).applyInPandas(_parts, f"{place} {kinds[place]}, {key} {kinds[key]}, part long")
-    grouped = lines.join(parts, KEYS).select(place, "part", "order_id", F.col(key).cast("string").alias("key"), "need", "room")
-    ordered = grouped.repartition(place, "part").sortWithinPartitions(place, "part", "order_id")
-    return ordered.mapInArrow(_walk, f"order_id {kinds['order_id']}, accepted boolean")
+    named = parts.select(*KEYS, (F.col(place).cast("long") * (1 << 32) + F.col("part")).alias("group"))
+    lines = store(lines.join(named, KEYS), "lines")
+    wide = lines.groupBy("order_id").agg(F.min("group").alias("low"), F.collect_set("group").alias("groups")).where(F.size("groups") > 1)
+    links = store(wide.select("low", F.explode("groups").alias("high")).distinct(), "links")
+    if links.isEmpty():
+        return lines
+    whole = components(links, "low", "high").withColumnsRenamed({"node": "group", "component": "whole"})
+    return lines.join(whole, "group", "left").withColumn("group", F.coalesce("whole", "group")).drop("whole")
 
 
 def _parts(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -251,7 +262,7 @@ def _parts(pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Orders of sorted groups, decided one after the other."""
+    """Orders of sorted groups (group, order_id, key, need, room), decided one after the other."""
     group = order = None
     taken: dict[str, int] = {}
     lines: list[tuple[str, int, int]] = []
@@ -267,13 +278,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verdicts.append(good)
 
     for batch in batches:
-        id_type = batch.column(2).type
-        for place, part, number, key, need, room in zip(*(c.to_pylist() for c in batch.columns)):
-            if number != order or (place, part) != group:
+        id_type = batch.column(1).type
+        for of, number, key, need, room in zip(*(c.to_pylist() for c in batch.columns)):
+            if number != order or of != group:
                 if lines:
                     decide()
-                if (place, part) != group:
-                    group, taken = (place, part), {}
+                if of != group:
+                    group, taken = of, {}
                 order, lines = number, []
             lines.append((key, need, room))
         yield pa.RecordBatch.from_arrays([pa.array(orders, id_type), pa.array(verdicts, pa.bool_())], ["order_id", "accepted"])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from tavola.operators import capacity as cap, fifo, inventory as inv
 from tavola.plans.registry import query
+from tavola.session import shared_dir
+from tavola.sources import snapshots
 
 TODAY = dt.date(2001, 8, 1)
 
@@ -204,6 +207,38 @@ def _(c):
     return made["orders"].join(moved, "id", "left")
 
 
+@query(
+    "o71b_committed",
+    """SELECT 'batches' AS name, CAST(count(*) AS DOUBLE) AS value FROM d_batches
+       UNION ALL SELECT 'dishes', count(*) FROM d_dishes UNION ALL SELECT 'orders', count(*) FROM d_orders
+       UNION ALL SELECT 'orders of refused needs', 0 UNION ALL SELECT 'quantity unaccounted for', 0""",
+)
+def _(c):
+    """Finalised orders, batches, movements and dishes as one snapshot, read back: what was taken is what is missing,
+    and no order that stock refuses is completed by it."""
+    open_ = c.orders_by_key.where("NOT is_finalized").select(F.col("id").alias("order_id"))
+    needs = c.consumption.join(open_, "order_id", "left_semi")
+    made = inv.finalise_all(c.orders_by_key, needs, c.batches, c.dishes, c.recipe, dt.datetime(2001, 8, 1, 12))
+    base = f"{shared_dir(c.spark)}/stock-{uuid.uuid4().hex}"
+    snapshots.commit(c.spark, base, made)
+    t = snapshots.read(c.spark, base)
+    counts = [t[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).cast("double").alias("value")) for n in ("batches", "dishes", "orders")]
+    before, after = (df.agg(F.sum("qty").alias("q")) for df in (c.batches, t["batches"]))
+    moved = t["movements"].agg(F.coalesce(F.sum("change_qty"), F.lit(0)).alias("m"))
+    lost = before.join(after.withColumnRenamed("q", "p")).join(moved).select(
+        F.lit("quantity unaccounted for").alias("name"), (F.col("q") + F.col("m") - F.col("p")).cast("double").alias("value")
+    )
+    wanted = needs.groupBy("order_id").agg(F.sum("need").alias("need"))
+    taken = t["movements"].groupBy(F.col("related_order_id").alias("order_id")).agg((-F.sum("change_qty")).alias("taken"))
+    done = t["orders"].where("is_finalized").select(F.col("id").alias("order_id"))
+    partly = wanted.join(taken, "order_id", "left").join(done, "order_id").where(F.col("need") != F.coalesce("taken", F.lit(0)))
+    refused = partly.agg(F.lit("orders of refused needs").alias("name"), F.count(F.lit(1)).cast("double").alias("value"))
+    found = lost.unionByName(refused)
+    for count in counts:
+        found = found.unionByName(count)
+    return found
+
+
 @query("o69_fifo_strict")
 def _(c):
     return fifo.fifo_allocate_strict(c.batches, c.consumption)

@@ -149,6 +149,26 @@ def test_alternating_orders(spark):
     assert got.count() == 10_000 and 0 < len(refused) < 10_000
 
 
+@pytest.mark.parametrize("seed", [6, 7])
+def test_strict_orders_of_several_locations(spark, seed):
+    """An order that is refused at one location takes nothing at the others."""
+    rng = random.Random(seed)
+    stock = [(r, i, 10 * r + i, Decimal(rng.randint(5, 40)), None, True, Decimal(0)) for r in range(1, 7) for i in range(1, 4)]
+    wants = {}
+    for o in range(120):
+        # Locations 1 and 2, and 3 and 4, share orders; 5 and 6 stand alone.
+        for r in rng.choice([(1,), (1, 2), (2,), (3, 4), (4,), (5,), (6,)]):
+            for i in rng.sample([1, 2, 3], rng.randint(1, 2)):
+                wants[(r, i, o)] = Decimal(rng.randint(1, 3)) + Decimal("0.5")
+    wants = [(*k, n) for k, n in wants.items()]
+    takes, _, refused = walk(stock, wants, strict=True)
+    stock_df, want_df = spark.createDataFrame(stock, LOTS), spark.createDataFrame(wants, NEEDS).repartition(3)
+    got = fifo.accepted_orders(stock_df, want_df, width=11).collect()
+    assert {r["order_id"] for r in got if not r["accepted"]} == refused and len(got) == len({w[2] for w in wants})
+    made = {tuple(r[:4]): r[4] for r in fifo.fifo_allocate_strict(stock_df, want_df, width=11).collect()}
+    assert made == takes and refused
+
+
 def test_jobs_do_not_grow_with_orders(spark, monkeypatch):
     cuts = []
     cut = fifo.cut
