@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tavola.functions.predicates import equals, has_all_words, where_all
+from tavola.functions.stemming import has_all_stems
 
 # Page sizes, the defaults of the listings. A larger limit is honoured, None means all rows.
 MENU_LIMIT = 200
@@ -38,11 +39,13 @@ def menu(
     keyword: str | None = None,
     words: str | None = None,
     limit: int | None = MENU_LIMIT,
+    stems: str | None = None,
 ) -> DataFrame:
     """Dishes matching every given filter, by location and name.
 
     `keyword` is a substring of the name in any case (its `%` and `_` are plain
-    characters); `words` asks for each of its words among the words of the name.
+    characters); `words` asks for each of its words among the words of the name, `stems`
+    for a form of each.
     """
     price = F.col("price")
     kept = where_all(
@@ -54,6 +57,7 @@ def menu(
         None if price_max is None else price <= F.lit(price_max),
         None if not keyword else F.contains(F.lower("name"), F.lower(F.lit(keyword))),
         None if not words else has_all_words("name", words),
+        None if not stems else has_all_stems("name", stems),
     )
     columns = ("id", "restaurant_id", "name", "category", "price", "prep_time_minutes", "is_available")
     return first(kept.select(*columns).orderBy("restaurant_id", "name", "id"), limit)

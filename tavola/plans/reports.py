@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tavola.functions.formatting import format_datetimes
 from tavola.functions.predicates import SOLD, equals, only, where_all
-from tavola.operators import listing, reports as rep
+from tavola.functions.stemming import has_all_stems
+from tavola.operators import listing, reports as rep, wordindex
 from tavola.plans.registry import query
 from tavola.sources import corpus
 from tavola.sources.tables import catalog_of, row_counts
@@ -213,6 +214,49 @@ def _(c):
     return listing.menu(c.dishes, words="ring small")
 
 
+# The stems of words of Latin letters, step by step, and the texts with forms of both words.
+STEMMED_SQL = r"""
+    WITH words AS (
+        SELECT doc_id, lang, unnest(list_distinct(string_split_regex(lower(text), '[^\p{L}\p{N}]+'))) AS w FROM documents),
+    plural AS (
+        SELECT doc_id, lang, w, CASE
+            WHEN w LIKE '%sses' THEN left(w, length(w) - 2)
+            WHEN length(w) > 4 AND (w LIKE '%ies' OR w LIKE '%ied') THEN left(w, length(w) - 2)
+            WHEN length(w) = 4 AND (w LIKE '%ies' OR w LIKE '%ied') THEN left(w, length(w) - 1)
+            WHEN w LIKE '%s' AND right(w, 2) NOT IN ('ss', 'us') AND regexp_matches(left(w, length(w) - 2), '[aeiouy]')
+            THEN left(w, length(w) - 1) ELSE w END AS p
+        FROM words WHERE regexp_full_match(w, '[a-z]+')),
+    verb AS (
+        SELECT doc_id, lang, w, p, regexp_replace(p, '(ed|ing)(ly)?$', '') AS cut, regexp_matches(p, 'eed(ly)?$') AS eed
+        FROM plural),
+    filled AS (
+        SELECT doc_id, lang, w, CASE
+            WHEN eed AND regexp_matches(p, '[aeiouy][^aeiouy].*eed(ly)?$') THEN regexp_replace(p, 'd(ly)?$', '')
+            WHEN eed OR cut = p OR NOT regexp_matches(cut, '[aeiouy]') THEN p
+            WHEN right(cut, 2) IN ('at', 'bl', 'iz') THEN cut || 'e'
+            WHEN right(cut, 2) IN ('bb', 'dd', 'ff', 'gg', 'mm', 'nn', 'pp', 'rr', 'tt') THEN left(cut, length(cut) - 1)
+            WHEN regexp_full_match(cut, '[^aeiouy]*[aeiouy][^aeiouywx]') THEN cut || 'e' ELSE cut END AS v
+        FROM verb),
+    stems AS (
+        SELECT DISTINCT doc_id, lang, CASE WHEN length(w) <= 2 THEN w
+            WHEN regexp_matches(v, '^.+[^aeiouy]y$') THEN left(v, length(v) - 1) || 'i' ELSE v END AS stem
+        FROM filled)
+    SELECT doc_id, lang FROM stems WHERE stem IN ('one', 'onli') GROUP BY 1, 2 HAVING count(*) = 2"""
+
+
+@query("o24_stemmed_search", STEMMED_SQL)
+def _(c):
+    docs = c.raw("documents").select("doc_id", "lang", "text")
+    return docs.where(has_all_stems("text", "Ones; ONLY")).drop("text")
+
+
+@query("o24_indexed_search", STEMMED_SQL)
+def _(c):
+    docs = c.raw("documents").select("doc_id", "lang", "text")
+    index = wordindex.build_index(docs, "doc_id", "text")
+    return wordindex.search_index(docs.drop("text"), "doc_id", index, "Ones; ONLY")
+
+
 # Joins -------------------------------------------------------------------------------------
 
 

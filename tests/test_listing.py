@@ -38,6 +38,7 @@ def test_menu(spark):
     assert ids(is_available=False) == [2]
     assert ids(price_min=7, price_max=9, restaurant_id=2) == [3]
     assert ids(words="100 soup") == [1]
+    assert ids(words="soups") == [] and ids(stems="SOUPS") == [1, 2]
 
 
 def test_words_need_every_token(spark):
