@@ -184,3 +184,20 @@ def test_demand_lines(spark):
     recipe = spark.createDataFrame([(7, 1, 10), (8, 1, 5), (8, 2, 1)], "dish_id int, ingredient_id int, qty_required int")
     orders = spark.createDataFrame([(1, 3), (2, 4)], "id long, restaurant_id int")
     assert rows(fifo.demand_lines(items, recipe, orders)) == [(3, 1, 1, 35), (3, 2, 1, 1), (4, 1, 2, 20), (4, 2, 2, 4)]
+
+
+def test_needs_of_orders_are_not_shuffled(spark):
+    """Lists of ingredients move; what they unfold to is summed where it is made."""
+    items = spark.createDataFrame([(1, 7, 2), (1, 8, 3), (1, 7, 1)], "order_id long, dish_id int, qty int")
+    orders = spark.createDataFrame([(1, 3)], "id long, restaurant_id int")
+    recipe = spark.createDataFrame([(7, 1, Decimal("0.0001")), (7, 1, Decimal(2)), (8, 1, Decimal(5))], "dish_id int, ingredient_id int, qty_required decimal(12,4)")
+    made = fifo.demand_lines(items, recipe, orders)
+    assert rows(made) == [(3, 1, 1, Decimal("21.0003"))]
+    above = made._jdf.queryExecution().sparkPlan().toString().split("Generate")
+    assert len(above) == 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fifo.demand_lines(items, recipe, orders)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Exchange" not in plan.split("Generate")[0]
