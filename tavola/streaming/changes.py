@@ -7,8 +7,9 @@ holds the last version and the amount of each item it has or had, so a change th
 twice, or after a later one of the same item, changes nothing. Totals are written for
 the orders of a micro-batch.
 
-State is keyed by order: its size is that of the items ever seen, as a row each (RocksDB on the
-executors), and a task reads the items of a batch's orders only.
+State is keyed by `ORDERS` neighbouring orders: a row holds their items (RocksDB on the executors), comes to the task with the
+changes and goes back once, so there is no call for each item or order. The size of all is that of the items ever seen,
+and a task reads the items of the rows that a batch's orders are in.
 
 Defined results: a change without item or version is ignored; null quantities or prices count 0; an
 order without items has the total 0.
@@ -21,9 +22,11 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 AMOUNT = "decimal(28,4)"
+#: Orders that share a row of state.
+ORDERS = 32
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,39 +41,35 @@ def signed(changes: DataFrame) -> DataFrame:
     return known.select("item_id", "version", F.explode(touched).alias("t")).select("t.order_id", "item_id", "version", "t.amount")
 
 
-class ItemAmounts(StatefulProcessor):
-    """The items of one order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", "item_id bigint", f"version bigint, amount {AMOUNT}")
-        self.total = handle.getValueState("total", f"total {AMOUNT}")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last: dict[int, tuple[int, Decimal | None]] = {}
-        for part in rows:
-            for item, version, amount in zip(part["item_id"], part["version"], part["amount"]):
-                if item not in last or version > last[item][0]:
-                    last[int(item)] = (int(version), None if pd.isna(amount) else amount)
-        total = self.total.get()[0] if self.total.exists() else Decimal(0)
-        for item, (version, amount) in last.items():
-            before = self.items.getValue((item,))
-            if before is not None:
-                if before[0] >= version:
-                    continue
-                total -= before[1] or 0
-            total += amount or 0
-            self.items.updateValue((item,), (version, amount))
-        self.total.update((total,))
-        yield pd.DataFrame({"order_id": [key[0]], "total_amount": [total]})
-
-    def close(self) -> None:
-        pass
+def _last_items(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The items of `ORDERS` orders; totals of those that `parts` touch."""
+    held: dict[tuple[int, int], tuple[int, Decimal | None]] = {}
+    if state.exists:
+        orders, items, versions, amounts = state.get
+        held = dict(zip(zip(orders, items), zip(versions, amounts)))
+    totals: dict[int, Decimal] = {}
+    for part in parts:
+        for order, item, version, amount in zip(*(part[c].tolist() for c in ("order_id", "item_id", "version", "amount"))):
+            totals[order] = Decimal(0)
+            last = held.get((order, item))
+            if last is None or version > last[0]:
+                held[order, item] = version, amount
+    for (order, _), (_, amount) in held.items():
+        if order in totals and amount is not None:
+            totals[order] += amount
+    state.update(([o for o, _ in held], [i for _, i in held], [v for v, _ in held.values()], [a for _, a in held.values()]))
+    yield pd.DataFrame({"order_id": list(totals), "total_amount": list(totals.values())})
 
 
 def order_totals(changes: DataFrame) -> DataFrame:
     """(order_id, total_amount) of the orders that each micro-batch touches, for update mode."""
     spark = changes.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    return signed(changes).groupBy("order_id").transformWithStateInPandas(
-        ItemAmounts(), f"order_id bigint, total_amount {AMOUNT}", "Update", "None"
+    placed = signed(changes).withColumn("_orders", F.floor(F.col("order_id") / ORDERS).cast("bigint"))
+    return placed.groupBy("_orders").applyInPandasWithState(
+        _last_items,
+        f"order_id bigint, total_amount {AMOUNT}",
+        f"orders array<bigint>, items array<bigint>, versions array<bigint>, amounts array<{AMOUNT}>",
+        "update",
+        GroupStateTimeout.NoTimeout,
     )

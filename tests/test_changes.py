@@ -87,3 +87,16 @@ def test_split_file_equals_whole_text(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == rows(whole, "section", "description", "part", "sql") and len(got) > 100
+
+
+def test_state_has_a_row_for_many_orders(spark, tmp_path):
+    """No call to the state for each item: 40 orders of 3 items are two rows."""
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([(10 * o + i, 1, None, o, 1, Decimal(2)) for o in range(40) for i in range(3)], SCHEMA).write.parquet(folder)
+    stream = changes.order_totals(jobs.read_files(spark, folder, "*.parquet"))
+    run = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+    seen = []
+    query = run.foreachBatch(lambda batch, _: seen.extend(r["total_amount"] for r in batch.collect())).start()
+    query.awaitTermination()
+    assert seen == [Decimal(6)] * 40
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) == 2
