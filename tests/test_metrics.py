@@ -101,3 +101,21 @@ def test_weights(spark):
     # A term of every text is left out when the share is bounded.
     same = spark.createDataFrame([(i, "abc") for i in range(3)], "id int, t string")
     assert textweights.vocabulary(same, "t").isEmpty()
+
+
+def test_ngrams_of_weights_do_not_move(spark, monkeypatch):
+    """Whatever the size limit of automatic broadcasts, only texts and the vocabulary are shuffled; beyond `SENT`, the same result."""
+    df = spark.createDataFrame([(i, f"text {i % 7} of {i % 3}") for i in range(60)] + [(60, None)], "id long, t string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = textweights.weights(df, "id", "t")
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+        want = rows(sent)
+        monkeypatch.setattr(textweights, "SENT", 0)
+        met = textweights.weights(df, "id", "t")
+        assert "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
+        assert [r[:3] for r in rows(met)] == [r[:3] for r in want] and len(want) > 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
