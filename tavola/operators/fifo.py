@@ -12,11 +12,10 @@ import datetime as dt
 from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tavola.operators.components import components
+from tavola.operators.components import GATHERED, components, thinned
 from tavola.operators.running import running_total
 from tavola.session import cut, store
 
@@ -146,8 +145,13 @@ def segments(
 
 def fifo_allocate(batches: DataFrame, needs: DataFrame, **size) -> DataFrame:
     """(keys, order_id, batch_id, take) in order of `order_id`; short needs are part filled."""
+    return allocated(segments(batches, needs, **size))
+
+
+def allocated(axis: DataFrame) -> DataFrame:
+    """The allocation of `segments`."""
     met = F.col("order_id").isNotNull() & F.col("batch_id").isNotNull()
-    return segments(batches, needs, **size).where(met).drop("runs_past")
+    return axis.where(met).drop("runs_past")
 
 
 def fifo_shortage(batches: DataFrame, needs: DataFrame, width: int = 65536) -> DataFrame:
@@ -181,10 +185,14 @@ def deplete(batches: DataFrame, needs: DataFrame, **size) -> DataFrame:
     A batch a need runs past is emptied and turned inactive; one that is used up
     exactly stays active with nothing left.
     """
+    return depleted(batches, segments(batches, needs, **size))
+
+
+def depleted(batches: DataFrame, axis: DataFrame) -> DataFrame:
+    """The same for the `segments` of these batches."""
     served = F.col("order_id").isNotNull() & F.col("batch_id").isNotNull()
     state = (
-        segments(batches, needs, **size)
-        .where(served)
+        axis.where(served)
         .groupBy(*KEYS, F.col("batch_id").alias("id"))
         .agg(F.sum("take").alias("taken"), F.bool_or("runs_past").alias("run_past"))
     )
@@ -205,21 +213,22 @@ def accepted_orders(batches: DataFrame, needs: DataFrame, width: int = 65536) ->
     locations. The number of jobs does not depend on the number of orders:
 
     1. A key whose needs fit its supply together binds no order.
-    2. The other keys are grouped by the orders that need several of them: first within each
-       location, then, where orders have several locations, across these. An order lies in one
-       group, so groups are independent.
+    2. The other keys are grouped by the orders that need several of them, at one location or
+       at several. An order lies in one group, so groups are independent.
     3. Sums of buckets of `width` ids tell in which bucket a group's first key runs out; the
        orders of all earlier buckets are accepted. The rest of a group is walked once, in order, in a
        stream that holds the quantities taken per key and the lines of one order.
     """
-    return _accepted(batches, _wanted(needs), width)
+    return accepted_of(batches, wanted_lines(needs), width)
 
 
-def _wanted(needs: DataFrame) -> DataFrame:
+def wanted_lines(needs: DataFrame) -> DataFrame:
+    """Needs above zero, kept for several passes."""
     return cut(needs.where(F.col("need") > 0).select(*KEYS, "order_id", F.col("need").cast(AMOUNT).alias("need")))
 
 
-def _accepted(batches: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def accepted_of(batches: DataFrame, wanted: DataFrame, width: int = 65536) -> DataFrame:
+    """`accepted_orders` of needs that went through `wanted_lines`."""
     supply = usable(batches).groupBy(*KEYS).agg(F.sum("qty").cast(AMOUNT).alias("supply"))
     have = F.coalesce("supply", F.lit(0)).cast(AMOUNT)
     total = wanted.groupBy(*KEYS).agg(F.sum("need").alias("total")).join(supply, KEYS, "left")
@@ -233,9 +242,11 @@ def _accepted(batches: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     open_ = lines.join(first, "group").where("_b >= first").join(used, KEYS, "left")
     room = F.col("supply") - F.coalesce("used", F.lit(0))
     units = [(v * 10_000).cast("decimal(38,0)").cast("bigint").alias(c) for c, v in (("need", F.col("need")), ("room", room))]
+    # A number of parts of its own: groups are long walks over few bytes, and must not be merged by their size.
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         open_.select("group", "order_id", F.concat_ws(":", *KEYS).alias("key"), *units)
-        .repartition("group")
+        .repartition(parts, "group")
         .sortWithinPartitions("group", "order_id")
     )
     verdicts = ordered.mapInArrow(_walk, f"order_id {wanted.schema['order_id'].dataType.simpleString()}, accepted boolean")
@@ -244,40 +255,26 @@ def _accepted(batches: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _grouped(lines: DataFrame) -> DataFrame:
-    """Lines with `group`: keys that an order needs together, directly or over others, are in one."""
-    place, key = KEYS
-    # A location's keys that share an order; as many rows as pairs of its keys, whatever the number of orders.
-    spans = lines.groupBy(place, "order_id").agg(F.min(key).alias("low"), F.collect_set(key).alias("keys"))
-    pairs = spans.select(place, "low", F.explode("keys").alias(key)).distinct()
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    parts = pairs.groupBy(place).applyInPandas(_parts, f"{place} {kinds[place]}, {key} {kinds[key]}, part long")
-    named = parts.select(*KEYS, (F.col(place).cast("long") * (1 << 32) + F.col("part")).alias("group"))
-    lines = store(lines.join(named, KEYS), "lines")
-    wide = lines.groupBy("order_id").agg(F.min("group").alias("low"), F.collect_set("group").alias("groups")).where(F.size("groups") > 1)
-    links = store(wide.select("low", F.explode("groups").alias("high")).distinct(), "links")
-    if links.isEmpty():
+    """Lines with `group`: keys that an order needs together, directly or over others, are in one.
+
+    A key is named by a hash; two keys of one name only make two groups one.
+    """
+    lines = store(lines.withColumn("group", F.xxhash64(*KEYS)), "lines")
+    spans = lines.groupBy("order_id").agg(F.min("group").alias("u"), F.collect_set("group").alias("groups")).where(F.size("groups") > 1)
+    # Each task replaces the links of its orders by a forest, so there are at most as many links as keys that a task has.
+    links = spans.select("u", F.explode("groups").alias("v")).where("u != v")
+    links = store(links.mapInPandas(thinned, "u long, v long"), "links")
+    found = links.count()
+    if not found:
         return lines
-    whole = components(links, "low", "high").withColumnsRenamed({"node": "group", "component": "whole"})
+    if found <= GATHERED:
+        whole = links.repartition(1).mapInPandas(thinned, "u long, v long")
+    else:
+        whole = components(links, "u", "v").toDF("u", "v")
+    whole = store(whole.toDF("group", "whole"), "groups")
     return lines.join(whole, "group", "left").withColumn("group", F.coalesce("whole", "group")).drop("whole")
 
 
-def _parts(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Connected groups of one location's keys, from its distinct pairs (low, key)."""
-    key = pairs.columns[2]
-    root: dict = {}
-
-    def find(k):
-        while root.setdefault(k, k) != k:
-            root[k] = k = root[root[k]]
-        return k
-
-    for low, other in zip(pairs["low"], pairs[key]):
-        root[find(other)] = find(low)
-    number: dict = {}
-    found = [(pairs.iloc[0, 0], k, number.setdefault(find(k), len(number))) for k in list(root)]
-    return pd.DataFrame(found, columns=[pairs.columns[0], key, "part"])
-
-
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Orders of sorted groups (group, order_id, key, need, room), decided one after the other."""
     group = order = None
@@ -313,6 +310,6 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fifo_allocate_strict(batches: DataFrame, needs: DataFrame, width: int = 65536, **size) -> DataFrame:
     """Allocation in which an order with any shortage takes nothing."""
-    wanted = _wanted(needs)
-    refused = _accepted(batches, wanted, width).where("NOT accepted").select("order_id")
+    wanted = wanted_lines(needs)
+    refused = accepted_of(batches, wanted, width).where("NOT accepted").select("order_id")
     return fifo_allocate(batches, wanted.join(refused, "order_id", "left_anti"), width=width, **size)

@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from tavola.functions.predicates import fill_zero
-from tavola.operators.fifo import AMOUNT, KEYS, accepted_orders, deplete, fifo_allocate, movements
+from tavola.operators.fifo import AMOUNT, KEYS, accepted_of, allocated, depleted, movements, segments, wanted_lines
 from tavola.operators.reports import revenue
-from tavola.session import cut
+from tavola.session import cut, store
 
 # Request states that count as open, the threshold used when no
 # batch has one, and the factor from threshold to requested quantity.
@@ -131,12 +131,15 @@ def finalise_all(
 
     `needs` holds the lines of the open orders.
     """
-    verdict = cut(accepted_orders(batches, needs))
-    good = needs.join(verdict.where("accepted").select("order_id"), "order_id", "left_semi")
-    after = deplete(batches, good)
+    wanted = wanted_lines(needs)
+    verdict = cut(accepted_of(batches, wanted))
+    good = wanted.join(verdict.where("accepted").select("order_id"), "order_id", "left_semi")
+    # Movements, batches and dishes all read it.
+    axis = store(segments(batches, good), "axis")
+    after = depleted(batches, axis)
     return {
         "orders": finalise(orders, at, user, verdict),
-        "movements": movements(fifo_allocate(batches, good)),
+        "movements": movements(allocated(axis)),
         "batches": after,
         "dishes": dish_availability(dishes, recipe, after),
     }

@@ -201,3 +201,35 @@ def test_needs_of_orders_are_not_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "Exchange" not in plan.split("Generate")[0]
+
+
+@pytest.mark.parametrize("gathered", [10**6, 1])
+def test_groups_are_closed_and_not_made_by_location(spark, monkeypatch, gathered):
+    """Keys that orders link are one group in either form, those that none links stay apart; no location is one task."""
+    monkeypatch.setattr(fifo, "GATHERED", gathered)
+    # Location 1 links its keys in a chain, order 100 links locations 1 and 2, and location 3 stands alone.
+    lines = [(1, i + s, i) for i in range(6) for s in (0, 1)] + [(1, 0, 100), (2, 5, 100), (3, 1, 101), (3, 2, 102)]
+    made = fifo._grouped(spark.createDataFrame(lines, "restaurant_id int, ingredient_id int, order_id long").repartition(3))
+    groups = {}
+    for r in made.collect():
+        groups.setdefault(r["group"], set()).add((r["restaurant_id"], r["ingredient_id"]))
+    assert sorted(map(sorted, groups.values())) == [[(1, i) for i in range(7)] + [(2, 5)], [(3, 1)], [(3, 2)]]
+    assert made.count() == len(lines)
+
+
+def test_finalising_walks_the_axis_once(spark, monkeypatch):
+    """Movements, batches and dishes read one stored axis."""
+    from tavola.operators import inventory as inv
+
+    made = []
+    segments = fifo.segments
+    monkeypatch.setattr(inv, "segments", lambda *a, **k: made.append(1) or segments(*a, **k))
+    orders = spark.createDataFrame([(1, 7, "served", False, None, None), (2, 7, "served", False, None, None)],
+        "id long, created_by_user int, status string, is_finalized boolean, completed_at timestamp_ntz, completed_by_user int")
+    dishes = spark.createDataFrame([(5, 1)], "id int, restaurant_id int")
+    recipe = spark.createDataFrame([(5, 1, Decimal(1))], "dish_id int, ingredient_id int, qty_required decimal(12,4)")
+    got = inv.finalise_all(orders, needs(spark, [(1, 4), (2, 3)]), lots(spark, [(9, 5, DAY, True)]), dishes, recipe, dt.datetime(2025, 1, 2))
+    assert rows(got["orders"], "id", "is_finalized") == [(1, True), (2, False)]
+    assert rows(got["movements"], "batch_id", "change_qty", "related_order_id") == [(9, Decimal(-4), 1)]
+    assert rows(got["batches"], "id", "qty", "active") == [(9, Decimal(1), True)] and rows(got["dishes"], "id", "is_available") == [(5, True)]
+    assert made == [1] and "axis" in str(got["movements"].inputFiles())
