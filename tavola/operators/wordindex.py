@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tavola.functions.stemming import word_stems
+from tavola.operators.textweights import dealt
 from tavola.session import shared_dir
 
 
@@ -54,7 +55,7 @@ def build_index(
     of all of them.
     """
     path = path or f"{shared_dir(texts.sparkSession)}/words-{uuid.uuid4().hex}"
-    rows = texts.where(F.col(id).isNotNull()).select(F.explode(word_stems(column)).alias("stem"), F.col(id).alias("id"))
+    rows = dealt(texts.where(F.col(id).isNotNull()).select(id, column), column).select(F.explode(word_stems(column)).alias("stem"), F.col(id).alias("id"))
     rows = rows.select(_bucket("stem", buckets), "stem", "id")
     part = F.pmod(F.xxhash64("id"), F.lit(parts))
     rows.repartition("bucket", part).sortWithinPartitions("bucket", "stem", "id").write.partitionBy("bucket").parquet(path)

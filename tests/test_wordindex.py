@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tavola.functions.stemming import has_all_stems, stem
+from tavola.operators import wordindex
 from tavola.operators.wordindex import build_index, search_index
 
 # Words and stems of the published Russian sample, and English forms.
@@ -53,3 +54,19 @@ def test_empty_table(spark, tmp_path):
     texts = spark.createDataFrame([], "id long, t string")
     index = build_index(texts, "id", "t", str(tmp_path / "words"))
     assert index.search(spark, "cat").count() == 0
+
+
+def test_texts_of_one_part_are_dealt_by_their_characters(spark, monkeypatch):
+    """A file of texts may come as one part; cutting it is not the work of one task."""
+    from tavola.operators import textweights
+
+    monkeypatch.setattr(textweights, "CHARACTERS_PER_TASK", 10)
+    texts = spark.createDataFrame([(i, "ones and twos") for i in range(20)] + [(90, None)], "id long, text string").coalesce(1)
+    assert textweights.dealt(texts, "text").rdd.getNumPartitions() == 26
+    assert textweights.dealt(texts.where("false"), "text").rdd.getNumPartitions() == 4
+    for module, run in ((textweights, lambda: textweights.vocabulary(texts, "text")), (wordindex, lambda: wordindex.build_index(texts, "id", "text"))):
+        seen = []
+        monkeypatch.setattr(module, "dealt", lambda df, name, f=textweights.dealt: seen.append(name) or f(df, name))
+        run()
+        assert seen == ["text"]
+        monkeypatch.undo()
