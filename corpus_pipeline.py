@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text."""
-    return bpe.bpe_encode(docs.select("doc_id", "text"), BPE_FILE).select("doc_id", "n_tokens", "ids")
+    return bpe.bpe_encode(docs.select("doc_id", "text"), BPE_FILE, decoded=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [

@@ -18,25 +18,29 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.functions.ngrams import portions
 from tavola.llm.naming import free
 
 #: Words up to this many parts are merged by scanning, longer ones with a heap.
 SHORT = 48
 #: Distinct words, with the marks around them, whose ids a Python worker keeps.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
+#: Characters whose ids and tokens a Python worker holds before it hands them on.
+CHARACTERS = 1_000_000
 #: Longest of these.
 KEPT_LENGTH = 64
 #: Control characters that Python takes for white space and the pattern does not.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
-RESULT = "ids binary, n_tokens long, decoded string"
+RESULT = "ids binary, n_tokens long"
+DECODED = ", decoded string"
 
 _NONE = 1 << 60
 
@@ -176,8 +180,17 @@ def loaded(content: str) -> WordBpe:
     return _LOADED[key]
 
 
-def bpe_column(df: DataFrame, text: Column, path: str) -> Column:
-    """Struct of `ids` (little-endian unsigned 32-bit integers), `n_tokens` and `decoded`.
+def encoded(bpe: WordBpe, batches: Iterable[pd.Series], decoded: bool) -> Iterator[pd.DataFrame]:
+    """Rows of the results, handed on for about `CHARACTERS` of text: a batch may be ten thousand long texts."""
+    for texts in batches:
+        for part in portions((len(t or "") for t in texts), CHARACTERS):
+            ids = [bpe.encode(t) for t in texts.iloc[part]]
+            made = {"ids": ids, "n_tokens": [len(i) // 4 for i in ids]}
+            yield pd.DataFrame(made | ({"decoded": [bpe.decode(i) for i in ids]} if decoded else {}))
+
+
+def bpe_column(df: DataFrame, text: Column, path: str, decoded: bool = True) -> Column:
+    """Struct of `ids` (little-endian unsigned 32-bit integers), `n_tokens` and, if asked for, `decoded`.
 
     The file at `path` is read here once and sent to the executors; its size is that of
     a vocabulary, whatever the number of rows.
@@ -185,18 +198,16 @@ def bpe_column(df: DataFrame, text: Column, path: str) -> Column:
     with open(path, encoding="utf-8") as f:
         content = df.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(RESULT + DECODED * decoded)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(content.value)
-        for texts in batches:
-            ids = [bpe.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": ids, "n_tokens": [len(i) // 4 for i in ids], "decoded": [bpe.decode(i) for i in ids]})
+        yield from encoded(loaded(content.value), batches, decoded)
 
     return encode.asNondeterministic()(text)
 
 
-def bpe_encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`df` with `ids`, `n_tokens` and `decoded` of its text column."""
+def bpe_encode(df: DataFrame, path: str, text: str = "text", decoded: bool = True) -> DataFrame:
+    """`df` with `ids`, `n_tokens` and, if asked for, `decoded` of its text column."""
     (name,) = free(df, "_bpe")
-    made = df.withColumn(name, bpe_column(df, F.col(text), path))
-    return made.withColumns({c: F.col(name)[c] for c in ("ids", "n_tokens", "decoded")}).drop(name)
+    made = df.withColumn(name, bpe_column(df, F.col(text), path, decoded))
+    results = ["ids", "n_tokens", *["decoded"] * decoded]
+    return made.withColumns({c: F.col(name)[c] for c in results}).drop(name)

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tavola.functions.ngrams import portions
 from tavola.llm.components import components
 from tavola.session import cut, store
 
@@ -56,6 +57,8 @@ BLOCK_BYTES = 4 << 20
 SENT_IDS = 1_000_000
 #: Distinct words whose hashes a Python worker keeps.
 WORDS_KEPT = 200_000
+#: Characters whose sets and signatures a Python worker holds before it hands them on.
+CHARACTERS = 1_000_000
 
 _rng = np.random.default_rng(2)
 _MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,25 +100,33 @@ def signature(s: np.ndarray) -> bytes:
     return (low >> np.uint64(32)).astype("<u4").tobytes()
 
 
+def parts_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The texts of a batch in parts of about `CHARACTERS`, since a batch may be ten thousand long texts."""
+    return (texts.iloc[part] for texts in batches for part in portions((len(t or "") for t in texts), CHARACTERS))
+
+
 @F.pandas_udf(T.StructType().add("key", "binary").add("n", "long").add("signature", "binary"))
 def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
+    for texts in parts_of(batches):
         out = []
         for t in texts:
             words = words_of(t)
             s = shingles(words)
             out.append((xxhash.xxh3_128_digest(b" ".join(words)), len(s), signature(s)))
         yield pd.DataFrame(out, columns=["key", "n", "signature"])
+    # A Python worker lives on for other stages, which need the memory.
+    _kept.clear()
 
 
 @F.pandas_udf(T.StructType().add("key", "binary").add("members", "binary"))
 def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
+    for texts in parts_of(batches):
         out = []
         for t in texts:
             words = words_of(t)
             out.append((xxhash.xxh3_128_digest(b" ".join(words)), shingles(words).tobytes()))
         yield pd.DataFrame(out, columns=["key", "members"])
+    _kept.clear()
 
 
 @cache

@@ -4,6 +4,7 @@ import hashlib
 import random
 import unicodedata
 
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -81,3 +82,15 @@ def test_count_rows(spark, counter):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a long word " * 3000, 5)], "doc_id long, text string, n_tokens int")
     got = {r["doc_id"]: r["n_tokens"] for r in viterbi.count_tokens(df, PIECES_FILE).collect()}
     assert got == {1: 0, 2: 0, 3: counter.run("▁" + ("a long word " * 3000).replace(" ", "▁"))}
+
+
+def test_bpe_holds_few_texts_at_a_time(monkeypatch):
+    """A batch of long texts is handed on in parts, with tokens only if they are asked for."""
+    monkeypatch.setattr(bpe, "CHARACTERS", 100)
+    own = bpe.WordBpe(open(BPE_FILE, encoding="utf-8").read())
+    batch = pd.Series(["abc " * 20, None, "", "x y " * 30, "z"] * 3)
+    made = list(bpe.encoded(own, [batch, batch[:0]], True))
+    assert len(made) >= 4 and "decoded" not in next(bpe.encoded(own, [batch], False))
+    together = pd.concat(made, ignore_index=True)
+    assert together["ids"].tolist() == [own.encode(t) for t in batch]
+    assert together["decoded"].tolist() == [own.decode(own.encode(t)) for t in batch]
