@@ -14,8 +14,8 @@ carry a label are found in turns: the machine is trained on the current worst un
 each toxic document against the hardest units of clean ones, then the worst units are
 chosen again. A logistic curve turns the worst margin into a score between 0 and 1.
 
-Training rows are bounded by `rows_per_label` (expected number, by a hash of the id);
-scoring covers every row and whole texts, and caches units within a Python worker only.
+Training rows are bounded by `rows_per_label` (expected number, by a hash of the id) and
+learned from in one task; scoring covers every row and whole texts, and caches units within a Python worker only.
 
 Defined results: null and empty texts are scored as texts without units (score of a
 document with nothing suspicious); labels that are null or neither 0 nor 1 are not used; ids
@@ -26,13 +26,16 @@ with several labels count as toxic if one label is 1; without rows of both label
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,7 +249,8 @@ def train(texts: list[str | None], labels: list[int]) -> ToxicityModel:
     """Model from labelled documents (1 toxic, 0 clean)."""
     if not {0, 1} <= set(labels):
         return ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0, float(1 in labels))
-    bags = [{p for w in units(t or "") for p in windows(w)} for t in texts]
+    # Documents share most of their words, which are held once.
+    bags = [{sys.intern(p) for w in units(t or "") for p in windows(w)} for t in texts]
     toxic = [b for b, y in zip(bags, labels) if y]
     clean = [b for b, y in zip(bags, labels) if not y]
     landmarks = choose_landmarks(toxic, clean)
@@ -290,8 +294,8 @@ def bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, keep: Column, rows_per_label: int, seed: int) -> tuple[list, list]:
-    """At most about `rows_per_label` texts of each label, chosen by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, keep: Column, rows_per_label: int, seed: int) -> DataFrame:
+    """Id, text and label of at most about `rows_per_label` texts of each label, chosen by a hash of the id."""
     known = labels.where(F.col(label).isin(0, 1) & keep).groupBy(doc_id).agg(F.max(label).alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
@@ -299,9 +303,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
         share = F.when(F.col("_y") == y, min(1.0, rows_per_label / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1_000_000)) < share * 1_000_000
     # The ids drawn are a bounded sample, so they are sent to the texts and not the other way round.
-    rows = docs.select(doc_id, text).join(F.broadcast(known.where(drawn)), doc_id).select(F.col(doc_id), F.col(text), "_y").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return [r[1] for r in rows], [int(r[2]) for r in rows]
+    return docs.select(doc_id, text).join(F.broadcast(known.where(drawn)), doc_id).select(F.col(doc_id), F.col(text), "_y")
+
+
+def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the model of all training rows (id, text, label), in any order."""
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[1] or ""))
+    model = train([r[1] for r in rows], [int(r[2]) for r in rows])
+    yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
 def fit(
@@ -314,9 +323,15 @@ def fit(
     rows_per_label: int = ROWS_PER_LABEL,
     seed: int = 1,
 ) -> ToxicityModel:
-    """Model from the labelled documents for which `keep` holds."""
+    """Model from the labelled documents for which `keep` holds.
+
+    The training rows go to one task, and the driver gets the model alone: their words take some
+    hundred MB, which a Python process does not give back.
+    """
     keep = F.lit(True) if keep is None else keep
-    return train(*training_rows(docs, labels, doc_id, text, label, keep, rows_per_label, seed))
+    rows = training_rows(docs, labels, doc_id, text, label, keep, rows_per_label, seed)
+    made = rows.repartition(1).mapInArrow(trained, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train([], [])
 
 
 _CACHE: dict[bytes, dict[str, float]] = {}

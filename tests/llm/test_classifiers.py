@@ -66,6 +66,21 @@ def test_toxicity_rows(spark):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_driver_holds_no_training_texts(spark, monkeypatch):
+    """Training is a task's work, so the driver's memory does not grow with the texts; the model is the same."""
+    docs = spark.createDataFrame([(i, f"word{i} you moron" if i % 2 else f"word{i} thing") for i in range(40)] + [(40, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, toxic int")
+    want = toxicity.train(*zip(*[(r["text"], r["doc_id"] % 2) for r in sorted(docs.collect())]))
+
+    def refused(*_):
+        raise AssertionError("trained by the driver")
+
+    monkeypatch.setattr(toxicity, "train", refused)
+    got = toxicity.fit(docs, labels)
+    assert got.landmarks == want.landmarks and got.weights == pytest.approx(want.weights, abs=1e-6)
+    assert (got.bias, got.slope, got.offset) == pytest.approx((want.bias, want.slope, want.offset))
+
+
 def test_language_on_held_out_documents():
     docs = pq.read_table(f"{FOLDER}/documents.parquet").to_pylist()[:3000]
     train = [r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1][:1200]
