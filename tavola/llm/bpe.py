@@ -65,16 +65,25 @@ class WordBpe:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of a pair, and by rank what it is merged to.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.merged: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+            self.ranks[self.ids[left], self.ids[right]] = rank
+            self.merged.append(self.ids[left + right])
         (split, _) = spec["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(split["pattern"]["Regex"])
         self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.special_mark = next(iter(self.special), "<")[:2]
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        #: Ids of each byte, inside a word and as its last one.
+        self.inside = [self.ids.get(x) for x in letters]
+        self.last = [self.ids.get(x + self.suffix) for x in letters]
+        #: Ids of runs, and those of the runs before them: what is asked for again moves to the new ones, so
+        #: that frequent runs stay when rare ones go.
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         """Composed form, runs of white space as one space, lower case letter by letter."""
@@ -83,41 +92,42 @@ class WordBpe:
         return text.lower()
 
     def word_ids(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.suffix
-        parts = [self.ids[x] for x in letters]
+        raw = word.encode()
+        parts = [self.inside[b] for b in raw]
+        parts[-1] = self.last[raw[-1]]
         return self._scan(parts) if len(parts) <= SHORT else self._heap(parts)
 
     def run_ids(self, run: str) -> bytes:
         """Ids of a run without white space, which may hold several words."""
-        out = array("I")
-        for word in self.words.findall(run):
-            out.extend(self.word_ids(word))
-        made = out.tobytes()
+        made = self.older.get(run)
+        if made is None:
+            out = array("I")
+            for word in self.words.findall(run):
+                out.extend(self.word_ids(word))
+            made = out.tobytes()
         if len(run) <= KEPT_LENGTH:
-            if len(self.kept) >= WORDS_KEPT:
+            if len(self.kept) >= WORDS_KEPT // 2:
+                self.older = self.kept.copy()
                 self.kept.clear()
             self.kept[run] = made
         return made
 
-    def _rank(self, left: int, right: int) -> int:
-        return self.ranks.get((left, right), (_NONE, 0))[0]
-
     def _scan(self, parts: list[int]) -> list[int]:
         if len(parts) < 2:
             return parts
-        ranks = [self._rank(a, b) for a, b in zip(parts, parts[1:])]
+        rank, merged = self.ranks.get, self.merged
+        ranks = [rank(pair, _NONE) for pair in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == _NONE:
                 break
             at = ranks.index(least)
-            parts[at] = self.ranks[parts[at], parts[at + 1]][1]
+            parts[at] = made = merged[least]
             del parts[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = self._rank(parts[at], parts[at + 1])
+                ranks[at] = rank((made, parts[at + 1]), _NONE)
             if at:
-                ranks[at - 1] = self._rank(parts[at - 1], parts[at])
+                ranks[at - 1] = rank((parts[at - 1], made), _NONE)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
@@ -125,21 +135,21 @@ class WordBpe:
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = bytearray(b"\1") * n
-        queue = [(self._rank(a, b), i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (a, b) in self.ranks]
+        queue = [(self.ranks[a, b], i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (a, b) in self.ranks]
         heapq.heapify(queue)
         while queue:
-            _, at, a, b = heapq.heappop(queue)
+            rank, at, a, b = heapq.heappop(queue)
             right = after[at]
             if not alive[at] or right >= n or parts[at] != a or parts[right] != b:
                 continue
-            parts[at] = self.ranks[a, b][1]
+            parts[at] = self.merged[rank]
             alive[right] = 0
             after[at] = after[right]
             if after[right] < n:
                 before[after[right]] = at
             for i in (before[at], at):
                 if i >= 0 and after[i] < n and (pair := (parts[i], parts[after[i]])) in self.ranks:
-                    heapq.heappush(queue, (self._rank(*pair), i, *pair))
+                    heapq.heappush(queue, (self.ranks[pair], i, *pair))
         return [p for p, a in zip(parts, alive) if a]
 
     def _plain(self, text: str, into: list[bytes]) -> None:

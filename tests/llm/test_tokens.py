@@ -94,3 +94,14 @@ def test_bpe_holds_few_texts_at_a_time(monkeypatch):
     together = pd.concat(made, ignore_index=True)
     assert together["ids"].tolist() == [own.encode(t) for t in batch]
     assert together["decoded"].tolist() == [own.decode(own.encode(t)) for t in batch]
+
+
+def test_bpe_keeps_frequent_words(monkeypatch):
+    """A full cache loses the rare words; the frequent one is not merged again for every text."""
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 20)
+    own = bpe.WordBpe(open(BPE_FILE, encoding="utf-8").read())
+    merged, merge = [], own.word_ids
+    monkeypatch.setattr(own, "word_ids", lambda word: merged.append(word) or merge(word))
+    made = [own.encode(f"frequent rare{'x' * (i % 50)}y{'z' * (i // 50)}") for i in range(200)]
+    assert merged.count("frequent") == 1
+    assert len(own.kept) + len(own.older) <= 20 and len(set(made)) == 200
