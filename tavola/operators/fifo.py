@@ -12,9 +12,12 @@ import datetime as dt
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tavola.functions import varints
 from tavola.operators.components import GATHERED, components, thinned
 from tavola.operators.running import running_total
 from tavola.session import cut, store
@@ -23,36 +26,101 @@ KEYS = ["restaurant_id", "ingredient_id"]
 AMOUNT = "decimal(28,4)"
 FAR = dt.date(9999, 12, 31)
 #: Needs of orders that a task unfolds and sums, about.
-NEEDS_PER_TASK = 2_000_000
+NEEDS_PER_TASK = 16_000_000
 
 
 def id_bucket(column: str, width: int) -> Column:
     return F.floor(F.col(column) / width).cast("bigint")
 
 
+def packing():
+    """Column of lists of (ingredient_id, units) as bytes."""
+
+    @F.arrow_udf("binary")
+    def pack(lists: pa.Array) -> pa.Array:
+        row, (ids, no_id), (units, no_units) = _entries(lists, "ingredient_id", "units")
+        data, offsets = varints.packed(row, ids, no_id, units, no_units, len(lists))
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+    return pack
+
+
+def _entries(lists: pa.Array, *names: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], ...]:
+    """The list of every entry, and for each field the values and where they are null."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    flat = lists.flatten()
+    fields = [flat.field(n) for n in names]
+    return np.repeat(np.arange(len(lists)), sizes), *[(f.fill_null(0).to_numpy(), f.is_null().to_numpy(zero_copy_only=False)) for f in fields]
+
+
+def summing():
+    """Column of lists of (qty, packed list) of one order as a list of (ingredient_id, units), each ingredient once."""
+
+    @F.arrow_udf("array<struct<ingredient_id bigint, units bigint>>")
+    def add(lists: pa.Array) -> pa.Array:
+        line_order, (qty, no_qty) = _entries(lists, "qty")
+        bytes_ = lists.flatten().field("parts").cast(pa.large_binary())
+        offsets = np.frombuffer(bytes_.buffers()[1], np.int64)[bytes_.offset : bytes_.offset + len(bytes_) + 1]
+        data = np.frombuffer(bytes_.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        line, ids, no_id, units, no_units = varints.unpacked(data, offsets - offsets[0])
+        order, missing = line_order[line], no_units | no_qty[line]
+        units, qty = np.where(missing, 0, units), qty[line]
+        if np.abs(units.astype(float) * qty).sum() >= 2.0**62:  # may not fit; Python's numbers do, and the last step tells
+            units, qty = units.astype(object), qty.astype(object)
+        low = ids.min(initial=0)
+        width = int(ids.max(initial=0)) - int(low) + 2
+        if width * (len(lists) + 1) < 2**63:
+            code = np.where(no_id, width - 1, ids - low)
+        else:
+            code = np.unique(ids, return_inverse=True)[1]
+            width = int(code.max(initial=0)) + 2
+            code = np.where(no_id, width - 1, code)
+        key = order * width + code
+        place = np.argsort(key)
+        key = key[place]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else place
+        summed = np.add.reduceat((units * qty)[place], at) if len(at) else units
+        there = np.add.reduceat(~missing[place], at, dtype=np.int64) > 0 if len(at) else missing
+        picked = place[at]
+        found = pa.StructArray.from_arrays(
+            [pa.array(ids[picked], pa.int64(), mask=no_id[picked]), pa.array(summed, pa.int64(), mask=~there)], ["ingredient_id", "units"]
+        )
+        sizes = np.bincount(order[picked], minlength=len(lists))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), found)
+
+    return add
+
+
 def demand_lines(items: DataFrame, recipe: DataFrame, orders: DataFrame) -> DataFrame:
     """What each order needs of each ingredient at its location.
 
-    A dish's recipe is one row with a list, which moves to the orders of the dish before it is unfolded, so the
-    needs of an order are made and summed in one task and none of them is shuffled. The number of parts
+    A dish's recipe is one row with a packed list (`varints`), which moves to the orders of the dish before it is unfolded, so the
+    needs of an order are made and summed in one task and none of them is shuffled. Orders lie by location, so
+    that a task meets an ingredient of its location often and sums of its lines are short. The number of parts
     follows the number of needs: lists are small next to what they unfold to, and must not be merged by their own size.
     """
     place = orders.select(F.col("id").alias("order_id"), "restaurant_id")
     per_dish = items.join(place, "order_id").groupBy("restaurant_id", "order_id", "dish_id").agg(F.sum("qty").alias("qty"))
     # Whole units sum as longs (an overflow is an error), which takes a fraction of the time of wide decimals.
     units = (F.col("qty_required").cast("decimal(28,4)") * 10_000).cast("bigint").alias("units")
-    parts = F.collect_list(F.struct("ingredient_id", units))
-    lists = recipe.groupBy("dish_id").agg(parts.alias("parts"))
-    sizes = recipe.groupBy("dish_id").agg(F.count(F.lit(1)).alias("parts"))
-    needs = items.groupBy("dish_id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "dish_id").agg(F.sum(F.col("n") * F.col("parts"))).first()[0]
+    parts = F.collect_list(F.struct(F.col("ingredient_id").cast("bigint").alias("ingredient_id"), units))
+    lists = recipe.groupBy("dish_id").agg(parts.alias("parts"), F.count(F.lit(1)).alias("n"))
+    lists = store(lists.select("dish_id", "n", packing()("parts").alias("parts")), "recipes")
+    sizes = items.groupBy("dish_id").agg(F.count(F.lit(1)).alias("lines")).join(lists.select("dish_id", "n"), "dish_id")
+    needs = sizes.agg(F.sum(F.col("lines") * F.col("n"))).first()[0]
     least = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         per_dish.join(lists, "dish_id")
-        .repartition(max(least, (needs or 0) // NEEDS_PER_TASK), "order_id")
-        .select("restaurant_id", "order_id", "qty", F.inline("parts"))
-        .groupBy(*KEYS, "order_id")
-        .agg(F.sum(F.col("units") * F.col("qty")).alias("units"))
-        .select(*KEYS, "order_id", (F.col("units") * F.lit(Decimal("0.0001"))).cast(AMOUNT).alias("need"))
+        .repartitionByRange(max(least, (needs or 0) // NEEDS_PER_TASK), "restaurant_id", "order_id")
+        .groupBy("restaurant_id", "order_id")
+        .agg(summing()(F.collect_list(F.struct("qty", "parts"))).alias("parts"))
+        .select("restaurant_id", "order_id", F.inline("parts"))
+        .select(
+            "restaurant_id",
+            F.col("ingredient_id").cast(recipe.schema["ingredient_id"].dataType),
+            "order_id",
+            (F.col("units") * F.lit(Decimal("0.0001"))).cast(AMOUNT).alias("need"),
+        )
     )
 
 
