@@ -1,5 +1,6 @@
 """Metrics against counting by hand, and the pieces under them."""
 
+import math
 import random
 
 import pytest
@@ -119,3 +120,20 @@ def test_ngrams_of_weights_do_not_move(spark, monkeypatch):
         assert [r[:3] for r in rows(met)] == [r[:3] for r in want] and len(want) > 500
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_weights_are_made_of_numbered_ngrams(spark):
+    """Texts are cut in numpy; rows of one key are one text, a null key is in no count of texts."""
+    df = spark.createDataFrame(
+        [(1, "ABcd  ef"), (1, "abc"), (2, "abc😀 abc"), (None, "abc bcd"), (None, "bcd"), (3, None), (4, ""), (5, "bcd")], "id int, t string"
+    )
+    made = textweights.weights(df, "id", "t")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "ArrowEvalPython" in plan
+    got = {(r["id"], r["gram"]): (r["tf"], r["weight"]) for r in made.collect()}
+    one, two = (math.log((1 + 7) / (1 + n)) + 1 for n in (2, 2))  # abc: keys 1 and 2; bcd: keys 1 and 5
+    want = {(1, "abc"): (2, 2 * one), (1, "bcd"): (1, two), (2, "abc"): (2, 2 * one), (None, "abc"): (1, one), (None, "bcd"): (2, 2 * two), (5, "bcd"): (1, two)}
+    length = {k: sum(v * v for (i, _), (_, v) in want.items() if i == k) ** 0.5 for k, _ in want}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1] / length[k[0]]) < 1e-12 for k in want)
+    assert textweights.weights(df.where("false"), "id", "t").count() == 0
