@@ -28,6 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,26 +183,45 @@ def build(nodes: DataFrame, length: int, count: int, seed: int) -> DataFrame:
             return edges.drop("fresh")
 
 
-@F.pandas_udf(T.FloatType())
-def nearness(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for q, s, qq, qs in batches:
-        yield pd.Series(np.einsum("ij,ij->i", unpacked(q, s), unpacked(qq, qs)) if len(q) else [], dtype="float32")
+FOUND = T.ArrayType(T.StructType().add("query", T.LongType()).add("node", T.LongType()).add("sim", T.FloatType()))
+
+
+@F.arrow_udf(FOUND)
+def nearer(asking: pa.Array, near: pa.Array) -> pa.Array:
+    """For each node expanded: of its neighbours those above the floor of each query that expands it, by one product of matrices."""
+    if not len(asking):
+        return pa.array([], pa.list_(pa.struct({"query": pa.int64(), "node": pa.int64(), "sim": pa.float32()})))
+    rows, last = asking.flatten(), near.flatten()
+    query, floor, qs = (rows.field(c).to_numpy() for c in ("query", "floor", "qs"))
+    node, scale = (last.field(c).to_numpy() for c in ("m", "s"))
+    ends = [np.append(0, np.cumsum(pc.list_value_length(c).to_numpy())) for c in (asking, near)]
+    vectors = [np.frombuffer(b"".join(c.to_pylist()), np.int8).reshape(len(c), -1) for c in (rows.field("qq"), last.field("q"))]
+    found, sizes = [], [0]
+    for (i, j), (k, l) in zip(zip(ends[0], ends[0][1:]), zip(ends[1], ends[1][1:])):
+        x = vectors[0][i:j].astype(np.float32) * qs[i:j, None]
+        y = vectors[1][k:l].astype(np.float32) * scale[k:l, None]
+        sim = x @ y.T
+        row, column = np.nonzero(sim > floor[i:j, None])
+        found.append((query[i + row], node[k + column], sim[row, column]))
+        sizes.append(len(row))
+    made = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query", "node", "sim"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), made)
 
 
 def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, beam_size: int = BEAM) -> DataFrame:
     """(query, node, sim) of the beam of each query, by greedy rounds from its own node.
 
-    The graph is cached by node for the rounds. A round sends the nodes to expand to it, scores
-    their neighbours there, and brings those better than the beam's last back to the query.
+    The graph is cached for the rounds, one row for a node and its neighbours. A round sends the nodes to expand to it, one row for a
+    node and the queries that expand it, scores their neighbours there, and brings those better than the beam's last back to the query.
     """
     back = top(edges.select(F.col("b").alias("u"), F.col("a").alias("m"), "sim"), "u", "m", REVERSE)
     links = edges.select(F.col("a").alias("u"), F.col("b").alias("m")).union(back.select("u", "m")).distinct()
-    graph = links.join(nodes.withColumnRenamed("node", "m"), "m").repartition("u").persist(StorageLevel.MEMORY_AND_DISK)
+    linked = links.join(nodes.withColumnRenamed("node", "m"), "m")
+    graph = linked.groupBy("u").agg(F.collect_list(F.struct("m", "q", "s")).alias("near")).persist(StorageLevel.MEMORY_AND_DISK)
     asked = queries.join(nodes, "node").select("query", F.col("q").alias("qq"), F.col("s").alias("qs"))
     beam = cut(queries.select("query", "node", F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("seen")))
     whole = Window.partitionBy("query")
     order = whole.orderBy("seen", F.desc("sim"), "node")
-    score = nearness.asNondeterministic()
     while not beam.where("not seen").isEmpty():
         marked = beam.withColumns(
             {
@@ -209,8 +230,8 @@ def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, beam_size: in
             }
         )
         front = marked.where("now").select("query", F.col("node").alias("u"), "floor").join(asked, "query")
-        near = front.join(graph, "u").withColumn("sim", score("q", "s", "qq", "qs")).where("sim > floor")
-        near = near.select("query", F.col("m").alias("node"), "sim", F.lit(False).alias("seen"))
+        asking = front.groupBy("u").agg(F.collect_list(F.struct("query", "floor", "qq", "qs")).alias("asking"))
+        near = asking.join(graph, "u").select(F.inline(nearer("asking", "near"))).withColumn("seen", F.lit(False))
         looked = marked.select("query", "node", "sim", (F.col("seen") | F.col("now")).alias("seen"))
         merged = looked.union(near).repartition("query").groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("seen").alias("seen"))
         beam = cut(top(merged, "query", "node", beam_size))

@@ -239,3 +239,30 @@ def test_crowd_around_the_threshold(spark, monkeypatch, split):
     monkeypatch.setattr(minhash, "BLOCK_BYTES", 20_000)
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_a_node_meets_all_queries_that_expand_it_at_once():
+    """Rounds of the search score a node's neighbours by one product for all queries, not row by row."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tavola.llm import nndescent
+
+    rng = np.random.default_rng(3)
+    near = [[{"m": 100 * u + i, "q": rng.integers(-127, 128, 8, np.int8).tobytes(), "s": 0.5 + i} for i in range(u + 1)] for u in range(4)]
+    asking = [[{"query": 10 * u + i, "floor": 0.0 if i else -np.inf, "qq": rng.integers(-127, 128, 8, np.int8).tobytes(), "qs": 0.25} for i in range(3 - u % 2)] for u in range(4)]
+    lists = (
+        pa.array(asking, pa.list_(pa.struct({"query": pa.int64(), "floor": pa.float64(), "qq": pa.binary(), "qs": pa.float32()}))),
+        pa.array(near, pa.list_(pa.struct({"m": pa.int64(), "q": pa.binary(), "s": pa.float32()}))),
+    )
+    made = nndescent.nearer.func(*lists).to_pylist()
+    for found, some, others in zip(made, asking, near):
+        want = {}
+        for a in some:
+            for b in others:
+                sim = a["qs"] * b["s"] * float(np.frombuffer(a["qq"], np.int8).astype(float) @ np.frombuffer(b["q"], np.int8).astype(float))
+                if sim > a["floor"]:
+                    want[a["query"], b["m"]] = sim
+        got = {(r["query"], r["node"]): r["sim"] for r in found}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-5 * max(1, abs(want[k])) for k in want)
+    assert len(nndescent.nearer.func(*[x[:0] for x in lists])) == 0
